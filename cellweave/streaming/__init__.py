@@ -1,0 +1 @@
+"""The engine is batch only: its data model has no streams, watermarks or state, so nothing is here."""
