@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.llm.exprs import unused
 from cellweave.plans.lineage import cut
 
 #: Most labelled rows that are fitted, chosen by hash of the id; the fit's cost does not grow beyond it.
@@ -210,4 +211,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAI
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with their columns."""
     model = fit(docs, labels, max_rows)
-    return docs.withColumn("__score", score_column(F.col("text"), model)).filter(F.col("__score") >= THRESHOLD).drop("__score")
+    name = unused(docs, "__score")
+    return docs.withColumn(name, score_column(F.col("text"), model)).filter(F.col(name) >= THRESHOLD).drop(name)

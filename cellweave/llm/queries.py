@@ -24,7 +24,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicate_groups(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicate_groups(_read(spark, sf_dir, "documents"))
 
 
 def op3_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,13 +15,16 @@ members at most, so linking each to the ball's smallest keeps all connections wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.llm.exprs import unused
 from cellweave.operators.components import star_components
 from cellweave.plans.lineage import cut
 
@@ -34,20 +37,36 @@ BUCKET = 24
 _SPREAD = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], dtype=np.uint64)
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+@dataclass(frozen=True)
+class View:
+    """What a fingerprint is made of: shingles of so many words, with repeats or each once, hashed with a seed."""
+
+    shingle: int = 3
+    distinct: bool = False
+    seed: int = 42
+
+
+#: Of a single three-word view only texts with very few changes link. Word sets change least when a word does.
+BROAD = (View(), View(1, True), View(1, True, 1), View(1, True, 2))
+
+
+def fingerprint(text: bytes | None, view: View = View()) -> int:
     """The unsigned 64-bit fingerprint of a UTF-8 text; 0 for null, empty or blank texts."""
     import xxhash
 
     words = text.lower().split() if text else []  # bytes: A-Z and ASCII white space only
     if not words:
         return 0
-    line, digest = b" ".join(words), xxhash.xxh64_digest
-    if len(words) <= shingle:
-        raw = digest(line, 42)
+    line, digest, seed = b" ".join(words), xxhash.xxh64_digest, view.seed
+    if view.shingle == 1:
+        shingles = words
+    elif len(words) <= view.shingle:
+        shingles = [line]
     else:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate([[0], ends[:-shingle]]).tolist()
-        raw = b"".join([digest(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)])
+        starts = np.concatenate([[0], ends[: -view.shingle]]).tolist()
+        shingles = [line[a:b] for a, b in zip(starts, (ends[view.shingle - 1 :] - 1).tolist(), strict=True)]
+    raw = b"".join([digest(x, seed) for x in (set(shingles) if view.distinct else shingles)])
     lanes = _SPREAD[np.frombuffer(raw, np.uint8).reshape(-1, 8)]
     n = len(lanes)
     # 255 rows at a time fit the byte-wide counters that the table spreads bits into
@@ -60,13 +79,13 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprint_column(text: Column, shingle: int = 3) -> Column:
-    """A bigint column: the fingerprint's 64 bits as a signed number."""
+def fingerprint_columns(text: Column, views: Sequence[View]) -> Column:
+    """array<bigint>: for each view the fingerprint's 64 bits as a signed number."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).astype(np.int64))
+            yield pd.Series([[_signed(fingerprint(t, v)) for v in views] for t in texts], dtype=object)
 
     return run.asNondeterministic()(text.cast("binary"))
 
@@ -129,31 +148,49 @@ def fingerprint_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return near.unionByName(stars).distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """One row per document: id, fingerprint (16 hex digits), component_id, and fp (the signed bits).
-
-    Null and blank texts have fingerprint zero and link like any other. Repeated rows stay. A null id
-    takes part but never names a group, unless the group has no other (then component_id is null).
-    An empty table gives an empty result. Only the id and text are read; other columns don't matter.
-    """
-    prints = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), shingle).alias("fp")))
+def _groups(prints: DataFrame, bucket: int) -> DataFrame:
+    """doc_id, fp -> fp, component_id: the smallest id among the fingerprints that are linked."""
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     comps = star_components(fingerprint_links(classes.select("fp"), bucket))
     linked = classes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # materialised, so that a fingerprint with a third of the rows is a skewed join that can be split
-    members = cut(linked.join(smallest, "root").select("fp", "component_id"))
-    return prints.join(members, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    return cut(linked.join(smallest, "root").select("fp", "component_id"))
 
 
-def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", views: Sequence[View] = (View(),), bucket: int = BUCKET) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits, of the first view), component_id.
+
+    Documents link if their fingerprints of any view differ in two bits or fewer; a group is what links
+    connect, named by its smallest id. Null and blank texts have fingerprint zero and link like any
+    other. Repeated rows stay. A null id takes part but never names a group, unless the group
+    has no other (then component_id is null). An empty table gives an empty result. Only the id and text
+    are read; other columns don't matter.
+    """
+    prints = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint_columns(F.col(text_col), views).alias("fps")))
+    hexed = F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0")).alias("fingerprint")
+    named = []
+    for v in range(len(views)):
+        one = prints.select("doc_id", F.get("fps", F.lit(v)).alias("fp"))
+        named.append(prints.withColumn("fp", F.get("fps", F.lit(v))).join(_groups(one, bucket), "fp", "left"))
+    if len(views) == 1:
+        return named[0].select("doc_id", hexed, "component_id")
+    # each view gives stars over ids; what they connect together is the group
+    stars = reduce(DataFrame.unionByName, [x.filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")) for x in named])
+    final = star_components(stars)
+    joined = named[0].select("doc_id", hexed, "component_id").join(final, F.col("doc_id") == F.col("node"), "left")
+    return joined.select("doc_id", "fingerprint", F.coalesce("component", "component_id").alias("component_id"))
+
+
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", views: Sequence[View] = BROAD) -> DataFrame:
     """The documents that name their group (smallest id); of rows that repeat an id, one.
 
     A row with a null id cannot name a group and is kept as it is.
     """
-    groups = cut(near_duplicate_groups(docs, id_col, text_col, shingle).select("doc_id", "component_id"))
-    named = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.filter(F.col(id_col).isNotNull()).join(named.hint("shuffle_hash"), F.col(id_col) == F.col("__kept"), "left_semi")
+    kept_id = unused(docs, "__kept")
+    groups = cut(near_duplicate_groups(docs, id_col, text_col, views).select("doc_id", "component_id"))
+    named = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
+    kept = docs.filter(F.col(id_col).isNotNull()).join(named.hint("shuffle_hash"), F.col(id_col) == F.col(kept_id), "left_semi")
     if not groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates([id_col])
     if groups.filter("doc_id is null").isEmpty():

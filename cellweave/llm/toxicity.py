@@ -27,7 +27,6 @@ MAX_TRAINING_ROWS = 8_000
 MAX_FEATURES, LEAST_DOCUMENTS, GRADES = 4_000, 4, 4
 #: Words a worker remembers before it starts anew.
 REMEMBERED = 200_000
-TOXIC = 1.0
 
 _WORD = re.compile(r"[^\W\d_]+").findall
 
@@ -48,10 +47,11 @@ class ToxicityModel:
     thresholds: np.ndarray | None
     base: float
 
-    def severity(self, total: np.ndarray) -> np.ndarray:
+    def above(self, total: np.ndarray) -> np.ndarray:
+        """(rows, 3): the chances that the grade is above 0, 1 and 2."""
         if self.thresholds is None:
-            return np.full(len(total), self.base)
-        return (1 / (1 + np.exp(np.clip(self.thresholds[None, :] - total[:, None], -50, 50)))).sum(axis=1)
+            return np.tile([self.base, 0.0, 0.0], (len(total), 1))
+        return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - total[:, None], -50, 50)))
 
 
 def grades(features: list[set[str]], toxic: np.ndarray, telling: set[str]) -> np.ndarray:
@@ -147,24 +147,26 @@ class _Scorer:
         return sum(self.weights[f] for f in sorted(found))
 
 
-def severity_column(text: Column, model: ToxicityModel) -> Column:
-    """The expected grade of every whole text, 0 to 3."""
+def grade_chances(text: Column, model: ToxicityModel) -> Column:
+    """array<double>: for every whole text the chances that its grade is above 0, 1 and 2."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = _Scorer(model.weights)
         for texts in batches:
-            yield pd.Series(model.severity(np.array([scorer.total(t) for t in texts], dtype=float)))
+            yield pd.Series(list(model.above(np.array([scorer.total(t) for t in texts], dtype=float))), dtype=object)
 
     return run.asNondeterministic()(text)
 
 
-def grade_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, toxic_from: float = TOXIC) -> DataFrame:
-    """doc_id, held_out, severity (expected grade), grade (rounded), toxic (0 or 1) for every row.
+def grade_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """doc_id, held_out, severity (the expected grade, 0 to 3), grade (rounded), toxic (0 or 1) for every row.
 
-    Null texts count as empty; repeated rows are graded alike; null ids give a row; an empty table gives
-    an empty result. Only the id and the text of ``docs`` are read.
+    A document is toxic if it is likelier than not that its grade is above 0. Null texts count as empty;
+    repeated rows are graded alike; null ids give a row; an empty table gives an empty result. Only the
+    id and the text of ``docs`` are read.
     """
     model = fit(docs, labels, max_rows)
-    graded = docs.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), severity_column(F.col("text"), model).alias("severity"))
-    return graded.select("*", F.round("severity").cast("int").alias("grade"), (F.col("severity") >= toxic_from).cast("int").alias("toxic"))
+    graded = docs.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), grade_chances(F.col("text"), model).alias("p"))
+    severity = F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x)
+    return graded.select("doc_id", "held_out", severity.alias("severity"), F.round(severity).cast("int").alias("grade"), (F.get("p", F.lit(0)) >= 0.5).cast("int").alias("toxic"))
