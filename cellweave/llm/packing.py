@@ -25,8 +25,10 @@ CAPACITY = 2048
 SLACK = 8
 #: Items one task packs in a round, and how many groups merge into one at least.
 GROUP_ITEMS, FAN_IN = 200_000, 8
-#: Chunks of text a worker remembers before it starts anew; longer ones are not remembered.
-REMEMBERED, CHUNK_BYTES = 250_000, 48
+#: Chunks of text in a generation of what a worker remembers; longer chunks are not remembered.
+REMEMBERED, CHUNK_BYTES = 350_000, 48
+#: Marks that form a token of their own between a letter and a blank.
+MARKS = (b".", b",", b";", b":", b"!", b"?")
 
 
 def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +61,12 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, n
 
 class Tokens:
     """Packed ids of whole texts. White space separates tokens in these vocabularies, so a text is
-    encoded chunk by chunk between ASCII blanks, and frequent chunks are looked up."""
+    encoded chunk by chunk between ASCII blanks, and chunks are remembered.
+
+    Two generations are remembered: when the young one is full it becomes the old one, and what is still
+    used moves over. A chunk of another case, or with one closing mark after a letter, is made from what is
+    known of its lower-case letters: the vocabularies ignore case and keep marks apart.
+    """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,32 +75,43 @@ class Tokens:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, chunks: list[bytes]) -> None:
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        for c, e in zip(chunks, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
+        self.old: dict[bytes, bytes] = {}
+        self.marks = dict(zip(MARKS, self._ids([m.decode() for m in MARKS]), strict=True))
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, chunks: set[bytes], here: dict[bytes, bytes]) -> None:
+        """Ids of chunks that the young generation lacks, into ``here``, and into it unless they are long."""
+        plain: dict[bytes, list[bytes]] = {}
+        for c in chunks:
+            if (found := self.old.get(c)) is not None:
+                here[c] = found
+                continue
+            low = c.lower()
+            if low[-1:] in self.marks and low[-2:-1].isalpha():
+                low = low[:-1]
+            plain.setdefault(low, []).append(c)
+        unknown = [w for w in plain if w not in self.known and w not in self.old]
+        made = dict(zip(unknown, self._ids([w.decode("utf-8", "replace") for w in unknown]), strict=True))
+        for w, forms in plain.items():
+            ids = made.get(w) or self.known.get(w) or self.old.get(w) or b""
+            for c in forms:
+                here[c] = ids if len(c) == len(w) else ids + self.marks[c[-1:]]
+        here.update(made)
+        if len(self.known) >= REMEMBERED:
+            self.old, self.known = self.known, {}
+        self.known.update((c, ids) for c, ids in here.items() if len(c) <= CHUNK_BYTES)
 
     def encode(self, text: bytes | None) -> bytes:
         chunks = text.split() if text else []
-        if missing := [c for c in set(chunks) if c not in self.known]:
-            self.learn(missing)
-            if long := [c for c in missing if len(c) > CHUNK_BYTES]:
-                try:
-                    return b"".join([self.known[c] if c in self.known else self._one(c) for c in chunks])
-                finally:
-                    for c in long:
-                        self.known.pop(c, None)
-        known = self.known
-        try:
+        missing = set(chunks).difference(self.known)
+        if not missing:
+            known = self.known
             return b"".join([known[c] for c in chunks])
-        except KeyError:  # what was known went to make room for this text's own chunks
-            return b"".join([known[c] if c in known else self._one(c) for c in chunks])
-
-    def _one(self, chunk: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        young, here = self.known, {}
+        self.learn(missing, here)
+        return b"".join([young[c] if c in young else here[c] for c in chunks])
 
 
 _LOADED: dict[int, Tokens] = {}
@@ -138,20 +156,18 @@ def local_bins(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, cap
 
 
 def _merge(open_bins: DataFrame, groups: int, capacity: int, level: int) -> DataFrame:
-    """bin, fill -> bin, parent, shift, parent_fill: one round over ``groups`` groups."""
+    """bin, fill -> bin, parent, shift, parent_fill: one round over ``groups`` groups of bounded size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if groups else None
-        if table is None or not table.num_rows:
-            return
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids, sizes = table["bin"].to_numpy(), table["fill"].to_numpy()
         order = np.argsort(ids)
         ids, sizes = ids[order], sizes[order]
         bins, shifts, fills = best_fit(sizes, capacity)
-        base = ((level << 24) | TaskContext.get().partitionId()) << 32
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(base + bins), pa.array(shifts), pa.array(fills[bins])], ["bin", "parent", "shift", "parent_fill"])
+        base = ((level << 24) | key[0].as_py()) << 32
+        return pa.table([pa.array(ids), pa.array(base + bins), pa.array(shifts), pa.array(fills[bins])], ["bin", "parent", "shift", "parent_fill"])
 
-    return open_bins.repartition(groups, F.xxhash64("bin")).mapInArrow(run, "bin long, parent long, shift long, parent_fill long")
+    group = F.pmod(F.xxhash64("bin"), F.lit(groups)).alias("group")
+    return open_bins.groupBy(group).applyInArrow(run, "bin long, parent long, shift long, parent_fill long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, slack: int = SLACK) -> DataFrame:
