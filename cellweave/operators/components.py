@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.plans.lineage import cut
+from cellweave.plans.lineage import cut, fewer_tasks
 
 #: Above this many edges (16 bytes each) the driver is not used.
 MAX_DRIVER_EDGES = 1_000_000
@@ -38,30 +38,35 @@ def minimum_labels(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.nda
         parent = hooked
 
 
-def _state(edges: DataFrame) -> tuple:
+def _state(edges: DataFrame) -> tuple[int, tuple]:
+    """(number of edges, digest of them)."""
     row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum((F.xxhash64("v", "u") % 1_000_003))).first()
-    return tuple(row)
+    return row[0], tuple(row)
 
 
 def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges``: bigint columns u, v. Returns node, component; no driver-side data, checkpointed rounds."""
     pairs = edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     pairs = cut(pairs)
-    before = _state(pairs)
-    for _ in range(max_rounds):
+    n, before = _state(pairs)
+    for _ in range(max_rounds if n else 0):
+        few = lambda df: fewer_tasks(df, 2 * n)  # noqa: B023, E731  a star has no more rows than edges have ends
+        pairs = few(pairs)
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        lowest = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = few(both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")).distinct()
+        large = few(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(least, "u")
-        small = linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        pairs = cut(small)
-        after = _state(pairs)
+        linked = few(large.join(least, "u"))
+        small = few(linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(few(least).select("u", F.col("m").alias("v")))).distinct()
+        pairs = cut(few(small))
+        n, after = _state(pairs)
         if after == before:
             break
         before = after
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if n:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

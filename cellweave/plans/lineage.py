@@ -25,3 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fewer_tasks(df: DataFrame, rows: int, rows_per_task: int = 100_000) -> DataFrame:
+    """``df`` in as few tasks as its known number of rows needs: a small table read by many tasks costs
+    each following shuffle a set of files for every one of them."""
+    return df.coalesce(max(1, -(-rows // rows_per_task)))
