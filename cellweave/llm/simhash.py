@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 
 from cellweave.llm.exprs import unused
 from cellweave.operators.components import star_components
-from cellweave.plans.lineage import cut
+from cellweave.plans.lineage import cut, fewer_tasks
 
 WIDTHS = (13, 13, 13, 13, 12)
 #: Differences allowed over a chain of 1 to 5 consecutive segments: floor(length * 2 / 5).
 BUDGETS = (0, 0, 1, 1, 2)
 #: Keys shared by more different fingerprints than this are linked through balls.
 BUCKET = 24
+#: Fingerprints (16 bytes each, ten keys) that one task handles.
+ROWS_PER_TASK = 25_000
 
 _SPREAD = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], dtype=np.uint64)
 
@@ -122,14 +124,15 @@ def _chain_holds(difference: Column, chain: Column) -> Column:
     return out
 
 
-def fingerprint_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Links u < v between different fingerprints (column fp, distinct) that keep all connections.
+def fingerprint_links(prints: DataFrame, rows: int, bucket: int = BUCKET) -> DataFrame:
+    """Links u < v between different fingerprints (column fp, distinct, ``rows`` at most) that keep all connections.
 
     Every pair within two bits is connected by the links, and every link is such a pair.
     """
-    keys = prints.select("fp", F.inline(_keys(F.col("fp"))))
-    sizes = cut(keys.groupBy("chain", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    shared = keys.join(sizes, ["chain", "key"])
+    few = lambda df: fewer_tasks(df, rows, ROWS_PER_TASK)
+    keys = few(prints).select("fp", F.inline(_keys(F.col("fp"))))
+    sizes = cut(few(keys.groupBy("chain", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")))
+    shared = few(keys.join(sizes, ["chain", "key"]))
     groups = shared.filter(F.col("n") <= bucket).groupBy("chain", "key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     pairs = F.flatten(
         F.transform(
@@ -140,22 +143,20 @@ def fingerprint_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
             ),
         )
     )
-    near = groups.select(F.inline(pairs))
-    hot = shared.filter(F.col("n") > bucket).select("fp").distinct()
+    near = few(groups.select(F.inline(pairs)))
+    if sizes.filter(F.col("n") > bucket).isEmpty():
+        return near.distinct()
+    hot = few(shared.filter(F.col("n") > bucket).select("fp").distinct())
     flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)]
     balls = hot.select("fp", F.explode(F.array(*flips)).alias("centre")).groupBy("centre").agg(F.sort_array(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)
     stars = balls.select(F.inline(F.transform(F.slice("fps", 2, 65), lambda y: F.struct(F.col("fps")[0].alias("u"), y.alias("v")))))
-    return near.unionByName(stars).distinct()
+    return near.unionByName(few(stars)).distinct()
 
 
-def _groups(prints: DataFrame, bucket: int) -> DataFrame:
-    """doc_id, fp -> fp, component_id: the smallest id among the fingerprints that are linked."""
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    comps = star_components(fingerprint_links(classes.select("fp"), bucket))
-    linked = classes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    # materialised, so that a fingerprint with a third of the rows is a skewed join that can be split
-    return cut(linked.join(smallest, "root").select("fp", "component_id"))
+def _classes(prints: DataFrame, rows: int) -> DataFrame:
+    """fp, first_id: the smallest id of each different fingerprint."""
+    one = fewer_tasks(prints, rows, ROWS_PER_TASK).groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    return cut(fewer_tasks(one, rows, ROWS_PER_TASK))
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", views: Sequence[View] = (View(),), bucket: int = BUCKET) -> DataFrame:
@@ -164,22 +165,36 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Documents link if their fingerprints of any view differ in two bits or fewer; a group is what links
     connect, named by its smallest id. Null and blank texts have fingerprint zero and link like any
     other. Repeated rows stay. A null id takes part but never names a group, unless the group
-    has no other (then component_id is null). An empty table gives an empty result. Only the id and text
-    are read; other columns don't matter.
+    has no other (then component_id is null). With several views a null id joins the group of the first.
+    An empty table gives an empty result. Only the id and text are read; other columns don't matter.
     """
     prints = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint_columns(F.col(text_col), views).alias("fps")))
-    hexed = F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0")).alias("fingerprint")
-    named = []
-    for v in range(len(views)):
-        one = prints.select("doc_id", F.get("fps", F.lit(v)).alias("fp"))
-        named.append(prints.withColumn("fp", F.get("fps", F.lit(v))).join(_groups(one, bucket), "fp", "left"))
+    rows = prints.count()
+    few = lambda df: fewer_tasks(df, rows, ROWS_PER_TASK)
+    view = lambda v: prints.select("doc_id", F.get("fps", F.lit(v)).alias("fp"))
+    first = prints.select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0")).alias("fingerprint"), F.get("fps", F.lit(0)).alias("fp"))
     if len(views) == 1:
-        return named[0].select("doc_id", hexed, "component_id")
-    # each view gives stars over ids; what they connect together is the group
-    stars = reduce(DataFrame.unionByName, [x.filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")) for x in named])
-    final = star_components(stars)
-    joined = named[0].select("doc_id", hexed, "component_id").join(final, F.col("doc_id") == F.col("node"), "left")
-    return joined.select("doc_id", "fingerprint", F.coalesce("component", "component_id").alias("component_id"))
+        classes = _classes(view(0), rows)
+        comps = star_components(fingerprint_links(classes.select("fp"), rows, bucket))
+        linked = few(classes.join(few(comps).withColumnRenamed("node", "fp"), "fp", "left")).select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
+        smallest = few(linked.groupBy("root").agg(F.min("first_id").alias("component_id")))
+        # materialised, so that a fingerprint with a third of the rows is a skewed join that can be split
+        members = cut(few(linked.join(smallest, "root").select("fp", "component_id")))
+        return few(first).join(members, "fp", "left").select("doc_id", "fingerprint", "component_id")
+    # each view links a document to the first of its class, and classes by their firsts; the union has the groups
+    ends = []
+    for v in range(len(views)):
+        classes = _classes(view(v), rows)
+        links = fingerprint_links(classes.select("fp"), rows, bucket)
+        one = few(links.join(classes.select(F.col("fp").alias("u"), F.col("first_id").alias("a")), "u"))
+        both = few(one.join(classes.select(F.col("fp").alias("v"), F.col("first_id").alias("b")), "v"))
+        copies = few(few(view(v)).join(classes, "fp").filter("doc_id <> first_id"))
+        ends += [both.select(F.col("a").alias("u"), F.col("b").alias("v")), copies.select(F.col("doc_id").alias("u"), F.col("first_id").alias("v"))]
+        if v == 0:
+            own = classes
+    comps = star_components(few(reduce(DataFrame.unionByName, ends)))
+    named = few(few(first).join(own, "fp", "left")).select(F.coalesce("doc_id", "first_id").alias("node"), "doc_id", "fingerprint")
+    return named.join(few(comps), "node", "left").select("doc_id", "fingerprint", F.coalesce("component", "node").alias("component_id"))
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", views: Sequence[View] = BROAD) -> DataFrame:
