@@ -9,7 +9,6 @@ P(grade > k) = sigmoid(weights . features - threshold_k), and the severity is th
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,10 +34,6 @@ def word_features(word: str) -> tuple[str, ...]:
     return (word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n))
 
 
-def text_features(text: str | None) -> set[str]:
-    return {f for w in set(_WORD((text or "").lower())) for f in word_features(w)}
-
-
 @dataclass
 class ToxicityModel:
     """Weights by feature and the ordered thresholds; ``thresholds`` None: only the base rate is known."""
@@ -54,9 +49,8 @@ class ToxicityModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - total[:, None], -50, 50)))
 
 
-def grades(features: list[set[str]], toxic: np.ndarray, telling: set[str]) -> np.ndarray:
+def grades(hits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """0 for clean documents; 1, 2, 3 for toxic ones with at most one, two, more telling words."""
-    hits = np.array([sum(1 for f in fs if f in telling and not f.endswith("*")) for fs in features], dtype=int)
     return np.where(toxic > 0.5, np.clip(hits, 1, GRADES - 1), 0)
 
 
@@ -106,21 +100,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
     toxic = table["y"].to_numpy()
     if not len(toxic) or toxic.min() == toxic.max():
         return ToxicityModel({}, None, float(toxic.mean()) if len(toxic) else 0.0)
-    features = [{f for w in t.split() for f in word_features(w)} for t in table["words"].to_pylist()]
-    of_toxic, of_clean = Counter(), Counter()
-    for fs, y in zip(features, toxic, strict=True):
-        (of_toxic if y > 0.5 else of_clean).update(fs)
-    n1, n0 = (toxic > 0.5).sum(), (toxic <= 0.5).sum()
-    frequent = [f for f in of_toxic.keys() | of_clean.keys() if of_toxic[f] + of_clean[f] >= LEAST_DOCUMENTS]
-    rate = lambda f: ((of_toxic[f] + 0.5) / (n1 + 1), (of_clean[f] + 0.5) / (n0 + 1))
-    telling = {f for f in frequent if of_toxic[f] >= LEAST_DOCUMENTS and rate(f)[0] > 10 * rate(f)[1]}
-    worth = {f: abs(p - q) / np.sqrt((p + q) * 0.5 / min(n1, n0)) for f in frequent for p, q in [rate(f)]}
-    kept = sorted((f for f in frequent if worth[f] > 3), key=lambda f: (-worth[f], f))[:MAX_FEATURES]
-    if not kept:
+    # features are numbered as they are met, so that a document is a small array
+    number: dict[str, int] = {}
+    of_word: dict[str, list[int]] = {}
+    rows_of: list[np.ndarray] = []
+    for batch in table.column("words").chunks:
+        for text in batch.to_pylist():
+            ids: list[int] = []
+            for w in text.split():
+                if (own := of_word.get(w)) is None:
+                    own = of_word[w] = [number.setdefault(f, len(number)) for f in word_features(w)]
+                ids += own
+            rows_of.append(np.unique(np.array(ids, np.int32)))
+    del of_word
+    is_toxic = toxic > 0.5
+    none = np.zeros(0, np.int32)
+    count = lambda chosen: np.bincount(np.concatenate([none, *(r for r, c in zip(rows_of, chosen, strict=True) if c)]), minlength=len(number))
+    of_toxic, of_clean = count(is_toxic), count(~is_toxic)
+    n1, n0 = is_toxic.sum(), (~is_toxic).sum()
+    p, q = (of_toxic + 0.5) / (n1 + 1), (of_clean + 0.5) / (n0 + 1)
+    whole_word = np.array([not f.endswith("*") for f in number], bool)
+    telling = (of_toxic >= LEAST_DOCUMENTS) & (p > 10 * q) & whole_word
+    worth = np.where(of_toxic + of_clean >= LEAST_DOCUMENTS, np.abs(p - q) / np.sqrt((p + q) * 0.5 / min(n1, n0)), 0)
+    kept = np.sort(np.argsort(-worth, kind="stable")[:MAX_FEATURES])
+    kept = kept[worth[kept] > 3]
+    if not len(kept):
         return ToxicityModel({}, None, float(toxic.mean()))
-    number = {f: i for i, f in enumerate(kept)}
-    weights, thresholds = fit_ordinal([np.array([number[f] for f in fs if f in number], np.int64) for fs in features], grades(features, toxic, telling), len(kept))
-    return ToxicityModel({f: float(weights[i]) for f, i in number.items() if abs(weights[i]) > 1e-3}, thresholds, 0.0)
+    place = np.full(len(number), -1)
+    place[kept] = np.arange(len(kept))
+    names = np.array(list(number), dtype=object)[kept]
+    sparse = [x[x >= 0] for x in (place[r] for r in rows_of)]
+    weights, thresholds = fit_ordinal(sparse, grades(np.array([telling[r].sum() for r in rows_of]), toxic), len(kept))
+    return ToxicityModel({f: float(w) for f, w in zip(names.tolist(), weights, strict=True) if abs(w) > 1e-3}, thresholds, 0.0)
 
 
 class _Scorer:
