@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens a worker remembers (about 250 bytes each) before it starts anew.
 REMEMBERED = 250_000
+#: The largest prime below 2**32: hashes are taken modulo it first, so that no size of table repeats early.
+PRIME = 4_294_967_291
 
 
 class PerfectHash:
@@ -50,13 +52,13 @@ class PerfectHash:
                 break
             if len(own) == 1:
                 slots[own[0]] = s = next_free(s)
-                self.turn[b], self.shift[b] = 0, (s - int(high[own[0]])) % self.n
+                self.turn[b], self.shift[b] = 0, (s - int(high[own[0]]) % PRIME) % self.n
                 free[s] = False
                 continue
-            for trial in range(1 << 14):
+            for trial in range(1 << 16):
                 turn, base = divmod(trial, -(-self.n // 512))
                 tried = np.arange(512 * base, 512 * base + 512, dtype=np.uint64)
-                at = ((high[own] + np.uint64(turn) * low[own])[None, :] + tried[:, None]) % np.uint64(self.n)
+                at = ((high[own] + np.uint64(turn) * low[own])[None, :] % np.uint64(PRIME) + tried[:, None]) % np.uint64(self.n)
                 fits = free[at].all(axis=1)
                 ordered = np.sort(at, axis=1)
                 fits &= (ordered[:, 1:] != ordered[:, :-1]).all(axis=1)
@@ -77,7 +79,7 @@ class PerfectHash:
             return -1
         h = self._hash(key)
         b = h % self.buckets
-        s = ((h >> 32) + self.turn[b] * ((h & 0xFFFFFFFF) | 1) + self.shift[b]) % self.n
+        s = (((h >> 32) + self.turn[b] * ((h & 0xFFFFFFFF) | 1)) % PRIME + self.shift[b]) % self.n
         return s if self.keys[s] == key else -1
 
 
