@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,15 @@ def last_not_above(keys: Sequence[Column], bounds: Sequence[Column], n: int) ->
         return F.when((at + step <= n) & (bound <= F.struct(*keys)), at + step).otherwise(at)
 
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), reach)
+
+
+def per_text(docs: DataFrame, id_col: str, text_col: str, kind: str, of: Callable[[list[bytes | None]], list]) -> DataFrame:
+    """doc_id and ``value`` (of Spark type ``kind``): ``of`` a batch's whole texts, as UTF-8, one value each."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    arrow = {"double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<bigint>": pa.list_(pa.int64())}[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(of(b.column("text").to_pylist()), arrow)], ["doc_id", "value"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, value {kind}")

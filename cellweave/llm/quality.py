@@ -12,12 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.exprs import unused
+from cellweave.llm.exprs import per_text
 from cellweave.plans.lineage import cut
 
 #: Most labelled rows that are fitted, chosen by hash of the id; the fit's cost does not grow beyond it.
@@ -97,7 +96,8 @@ class QualityModel:
         """0 to 1. A small share of the uncalibrated score keeps the order within a calibrated step."""
         if self.beta is None:
             return np.full(len(stats), self.prior)
-        raw = self.ridge(stats)
+        # in blocks, so that the features of a batch take little memory
+        raw = np.concatenate([self.ridge(stats[i : i + 512]) for i in range(0, len(stats), 512)] or [np.zeros(0)])
         calibrated = np.interp(raw, self.steps, self.levels)
         return np.clip(0.99 * calibrated + 0.01 / (1 + np.exp(-4 * (raw - 0.5))), 0, 1)
 
@@ -186,15 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, r
     return model
 
 
-def score_column(text: Column, model: QualityModel) -> Column:
-    """The score of every whole text."""
-
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(model.score(np.array([statistics(t) for t in texts])) if len(texts) else [], dtype=float)
-
-    return run.asNondeterministic()(text.cast("binary"))
+def _scored(model: QualityModel, texts: list[bytes | None]) -> np.ndarray:
+    return model.score(np.array([statistics(t) for t in texts]).reshape(-1, STATISTICS))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
@@ -204,12 +197,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAI
     gives an empty result. Only the id and the text of ``docs`` are read.
     """
     model = fit(docs, labels, max_rows)
-    scored = docs.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), score_column(F.col("text"), model).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    scored = per_text(docs, "doc_id", "text", "double", lambda texts: _scored(model, texts))
+    held_out = F.coalesce(fold_of(F.col("doc_id")) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("value").alias("score"), (F.col("value") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with their columns."""
     model = fit(docs, labels, max_rows)
-    name = unused(docs, "__score")
-    return docs.withColumn(name, score_column(F.col("text"), model)).filter(F.col(name) >= THRESHOLD).drop(name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = _scored(model, b.column("text").cast(pa.binary()).to_pylist())
+            yield b.filter(pa.array(score >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -15,16 +15,15 @@ members at most, so linking each to the ball's smallest keeps all connections wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.exprs import unused
+from cellweave.llm.exprs import per_text, unused
 from cellweave.operators.components import star_components
 from cellweave.plans.lineage import cut, fewer_tasks
 
@@ -81,17 +80,6 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprint_columns(text: Column, views: Sequence[View]) -> Column:
-    """array<bigint>: for each view the fingerprint's 64 bits as a signed number."""
-
-    @F.pandas_udf("array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([[_signed(fingerprint(t, v)) for v in views] for t in texts], dtype=object)
-
-    return run.asNondeterministic()(text.cast("binary"))
-
-
 def _segments() -> list[int]:
     masks, at = [], 64
     for w in WIDTHS:
@@ -168,7 +156,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     has no other (then component_id is null). With several views a null id joins the group of the first.
     An empty table gives an empty result. Only the id and text are read; other columns don't matter.
     """
-    prints = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint_columns(F.col(text_col), views).alias("fps")))
+    of = lambda texts: [[_signed(fingerprint(t, v)) for v in views] for t in texts]
+    prints = cut(per_text(docs, id_col, text_col, "array<bigint>", of).withColumnRenamed("value", "fps"))
     rows = prints.count()
     few = lambda df: fewer_tasks(df, rows, ROWS_PER_TASK)
     view = lambda v: prints.select("doc_id", F.get("fps", F.lit(v)).alias("fp"))

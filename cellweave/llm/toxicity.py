@@ -13,11 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.llm.exprs import per_text
 from cellweave.llm.quality import fold_of, training_ids
 
 #: Most labelled rows that are fitted (their features, about 2 kB each, come to the driver).
@@ -146,10 +146,10 @@ class _Scorer:
         self.known[word] = out = tuple(f for f in word_features(word) if f in self.weights)
         return out
 
-    def total(self, text: str | None) -> float:
+    def total(self, text: str) -> float:
         known = self.known
         found: set[str] = set()
-        for w in set(_WORD((text or "").lower())):
+        for w in set(_WORD(text.lower())):
             fs = known.get(w)
             if fs is None:
                 fs = self.word(w)
@@ -158,18 +158,6 @@ class _Scorer:
         return sum(self.weights[f] for f in sorted(found))
 
 
-def grade_chances(text: Column, model: ToxicityModel) -> Column:
-    """array<double>: for every whole text the chances that its grade is above 0, 1 and 2."""
-
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = _Scorer(model.weights)
-        for texts in batches:
-            yield pd.Series(list(model.above(np.array([scorer.total(t) for t in texts], dtype=float))), dtype=object)
-
-    return run.asNondeterministic()(text)
-
-
 def grade_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """doc_id, held_out, severity (the expected grade, 0 to 3), grade (rounded), toxic (0 or 1) for every row.
 
@@ -178,6 +166,12 @@ def grade_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAI
     id and the text of ``docs`` are read.
     """
     model = fit(docs, labels, max_rows)
-    graded = docs.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), grade_chances(F.col("text"), model).alias("p"))
+
+    def chances(texts: list[bytes | None]) -> list[list[float]]:
+        scorer = _Scorer(model.weights)
+        return model.above(np.array([scorer.total((t or b"").decode("utf-8", "replace")) for t in texts], dtype=float)).tolist()
+
+    held_out = F.coalesce(fold_of(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
+    graded = per_text(docs, "doc_id", "text", "array<double>", chances).select("doc_id", held_out, F.col("value").alias("p"))
     severity = F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x)
     return graded.select("doc_id", "held_out", severity.alias("severity"), F.round(severity).cast("int").alias("grade"), (F.get("p", F.lit(0)) >= 0.5).cast("int").alias("toxic"))
