@@ -9,7 +9,10 @@ longer saves anything. A group never has more than a fixed number of items.
 from __future__ import annotations
 
 import os
+import sys
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +62,15 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, n
     return bins, offsets, np.array(fills, np.int64)
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 and on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in own)}
+
+
+_LETTERS = _byte_letters()
+
+
 class Tokens:
     """Packed ids of whole texts. White space separates tokens in these vocabularies, so a text is
     encoded chunk by chunk between ASCII blanks, and chunks are remembered.
@@ -74,44 +86,67 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise RuntimeError("packed ids need 4-byte little-endian integers")
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.marks = dict(zip(MARKS, self._ids([m.decode() for m in MARKS]), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, chunks: set[bytes], here: dict[bytes, bytes]) -> None:
-        """Ids of chunks that the young generation lacks, into ``here``, and into it unless they are long."""
-        plain: dict[bytes, list[bytes]] = {}
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of ASCII-lower-case chunks. One that normalising and splitting leave alone (only letters, in
+        lower case and composed) goes to the merges at once, with its bytes as the letters that stand for them."""
+        made, others, merge = {}, [], self.tokenizer.model.tokenize
+        for w in words:
+            if w.isalpha():
+                made[w] = array("I", [t.id for t in merge(w.decode("ascii"))]).tobytes()
+                continue
+            s = w.decode("utf-8", "replace")
+            if max(s) < "\u0250" and s.isalpha() and s == s.lower() and unicodedata.is_normalized("NFC", s):
+                made[w] = array("I", [t.id for t in merge(w.decode("latin-1").translate(_LETTERS))]).tobytes()
+            else:
+                others.append(w)
+        made.update(zip(others, self._ids([w.decode("utf-8", "replace") for w in others]), strict=True))
+        return made
+
+    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that the young generation lacks; it gets all of them that are not long."""
+        known, old, marks = self.known, self.old, self.marks
+        here, plain = {}, {}
         for c in chunks:
-            if (found := self.old.get(c)) is not None:
-                here[c] = found
+            if c in old:
+                here[c] = old[c]
                 continue
             low = c.lower()
-            if low[-1:] in self.marks and low[-2:-1].isalpha():
+            if low[-1:] in marks and low[-2:-1].isalpha():
                 low = low[:-1]
-            plain.setdefault(low, []).append(c)
-        unknown = [w for w in plain if w not in self.known and w not in self.old]
-        made = dict(zip(unknown, self._ids([w.decode("utf-8", "replace") for w in unknown]), strict=True))
+            if low in plain:
+                plain[low].append(c)
+            else:
+                plain[low] = [c]
+        unknown = [w for w in plain if w not in known and w not in old]
+        here.update(self._words(unknown))
         for w, forms in plain.items():
-            ids = made.get(w) or self.known.get(w) or self.old.get(w) or b""
+            ids = here[w] if w in here else known[w] if w in known else old[w]
             for c in forms:
-                here[c] = ids if len(c) == len(w) else ids + self.marks[c[-1:]]
-        here.update(made)
-        if len(self.known) >= REMEMBERED:
-            self.old, self.known = self.known, {}
-        self.known.update((c, ids) for c, ids in here.items() if len(c) <= CHUNK_BYTES)
+                here[c] = ids if len(c) == len(w) else ids + marks[c[-1:]]
+        if len(known) >= REMEMBERED:
+            self.old, self.known = known, {}
+        self.known.update(here)
+        for c in here:
+            if len(c) > CHUNK_BYTES:
+                del self.known[c]
+        return here
 
     def encode(self, text: bytes | None) -> bytes:
         chunks = text.split() if text else []
-        missing = set(chunks).difference(self.known)
-        if not missing:
-            known = self.known
-            return b"".join([known[c] for c in chunks])
-        young, here = self.known, {}
-        self.learn(missing, here)
-        return b"".join([young[c] if c in young else here[c] for c in chunks])
+        known = self.known
+        if missing := set(chunks).difference(known):
+            here = self.learn(missing)
+            return b"".join([known[c] if c in known else here[c] for c in chunks])
+        return b"".join([known[c] for c in chunks])
 
 
 _LOADED: dict[int, Tokens] = {}

@@ -149,5 +149,5 @@ def test_chunked_tokens_equal_the_library(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 500)
     with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
         own = packing.Tokens(f.read())
-    for t in ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|> x<|startoftext|>.", "I'LL 's. it's! a.. " + "y" * 200, ""]:
+    for t in ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|> x<|startoftext|>.", "I'LL 's. it's! a.. " + "y" * 200, "", "ünïcödé Straße ŉ ªº ÷ ×é déjà. Ǆ ǆ œuvre, mañana! été?"]:
         assert np.frombuffer(own.encode(t.encode()), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
