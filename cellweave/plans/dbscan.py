@@ -44,7 +44,7 @@ class Stages:
 
     @property
     def cores(self) -> DataFrame:
-        return self._once("cores", lambda: core.core_cells(self.marked))
+        return self._once("cores", lambda: core.core_cells(self.marked), keep=True)
 
     @property
     def edges(self) -> DataFrame:
