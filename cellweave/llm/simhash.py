@@ -11,16 +11,21 @@ A key shared by more than ``bucket`` different fingerprints is never expanded in
 fingerprints are put, each with all of its one-bit neighbours, into balls of radius one: two
 fingerprints share a ball's centre exactly if they differ in two bits or fewer, and a ball has 65
 members at most, so linking each to the ball's smallest keeps all connections with 65 rows for each.
+
+Two bits of one fingerprint reach few texts with changed words. So groups may be formed over several
+views: the first view's links hold as they are, the links of the other views (word sets) are candidates,
+which hold if the texts' five-word shingles have a Jaccard similarity of 0.8 or more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.exprs import per_text, unused
@@ -38,42 +43,94 @@ ROWS_PER_TASK = 25_000
 _SPREAD = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], dtype=np.uint64)
 
 
+#: Shingle length and least similarity that a candidate of a further view must have.
+CHECKED_SHINGLE, SIMILARITY = 5, 0.8
+#: Candidates of a text that the first round checks, and how many times more each later round does.
+FIRST_CHECKS, MORE_CHECKS = 4, 8
+#: Ids (8 bytes each) that may be broadcast.
+BROADCAST_IDS = 500_000
+
+
 @dataclass(frozen=True)
 class View:
-    """What a fingerprint is made of: shingles of so many words, with repeats or each once, hashed with a seed."""
+    """What a fingerprint is made of: shingles of so many words, with repeats or each once, hashed with a seed.
+
+    ``remix`` turns the hashes into others, so that many views need one hash of each word.
+    """
 
     shingle: int = 3
     distinct: bool = False
     seed: int = 42
+    remix: int = 0
 
 
-#: Of a single three-word view only texts with very few changes link. Word sets change least when a word does.
-BROAD = (View(), View(1, True), View(1, True, 1), View(1, True, 2))
+#: Word sets change least when a word does; a pair of similarity 0.8 is within two bits in about one view of five.
+BROAD = (View(), *(View(1, True, remix=i) for i in range(1, 11)))
 
 
-def fingerprint(text: bytes | None, view: View = View()) -> int:
-    """The unsigned 64-bit fingerprint of a UTF-8 text; 0 for null, empty or blank texts."""
+def _shingles(words: list[bytes], k: int) -> list[bytes]:
+    """Shingles of ``k`` words, repeats included; the whole sequence of fewer words; none without words."""
+    if k == 1 or not words:
+        return words
+    line = b" ".join(words)
+    if len(words) <= k:
+        return [line]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[:-k]]).tolist()
+    return [line[a:b] for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)]
+
+
+def _words(text: bytes | None) -> list[bytes]:
+    return text.lower().split() if text else []  # bytes: A-Z and ASCII white space only
+
+
+def _remixed(hashes: np.ndarray, i: int) -> np.ndarray:
+    """Other 64-bit hashes from given ones, by a multiply-and-shift finaliser (fixed odd constants)."""
+    z = hashes + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprints(text: bytes | None, views: Sequence[View]) -> list[int]:
+    """The unsigned 64-bit fingerprint of a UTF-8 text in each view; 0 for null, empty or blank texts."""
     import xxhash
 
-    words = text.lower().split() if text else []  # bytes: A-Z and ASCII white space only
+    words, digest = _words(text), xxhash.xxh64_digest
     if not words:
-        return 0
-    line, digest, seed = b" ".join(words), xxhash.xxh64_digest, view.seed
-    if view.shingle == 1:
-        shingles = words
-    elif len(words) <= view.shingle:
-        shingles = [line]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate([[0], ends[: -view.shingle]]).tolist()
-        shingles = [line[a:b] for a, b in zip(starts, (ends[view.shingle - 1 :] - 1).tolist(), strict=True)]
-    raw = b"".join([digest(x, seed) for x in (set(shingles) if view.distinct else shingles)])
-    lanes = _SPREAD[np.frombuffer(raw, np.uint8).reshape(-1, 8)]
-    n = len(lanes)
-    # 255 rows at a time fit the byte-wide counters that the table spreads bits into
-    counts = np.add.reduceat(lanes, np.arange(0, n, 255), axis=0).view(np.uint8).reshape(-1, 8, 8).sum(axis=0, dtype=np.int64)
-    bits = np.packbits((2 * counts > n)[:, ::-1])
-    return int.from_bytes(bits.tobytes(), "big")
+        return [0] * len(views)
+    raw, out = {}, []
+    for view in views:
+        source = (view.shingle, view.distinct, view.seed)
+        if source not in raw:
+            shingles = _shingles(words, view.shingle)
+            raw[source] = np.frombuffer(b"".join([digest(x, view.seed) for x in (set(shingles) if view.distinct else shingles)]), ">u8")
+        hashes = _remixed(raw[source].astype(np.uint64), view.remix).astype(">u8") if view.remix else raw[source]
+        lanes = _SPREAD[hashes.view(np.uint8).reshape(-1, 8)]
+        n = len(lanes)
+        # 255 rows at a time fit the byte-wide counters that the table spreads bits into
+        counts = np.add.reduceat(lanes, np.arange(0, n, 255), axis=0).view(np.uint8).reshape(-1, 8, 8).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits((2 * counts > n)[:, ::-1]).tobytes(), "big"))
+    return out
+
+
+def fingerprint(text: bytes | None, view: View = View()) -> int:
+    return fingerprints(text, (view,))[0]
+
+
+def set_key(text: bytes | None) -> list[int]:
+    """Two signed 64-bit numbers that texts with the same set of five-word shingles share."""
+    import xxhash
+
+    key = xxhash.xxh3_128_digest(b"".join(sorted({xxhash.xxh3_128_digest(x) for x in _shingles(_words(text), CHECKED_SHINGLE)})))
+    return np.frombuffer(key, ">i8").tolist()
+
+
+def similarity(a: bytes | None, b: bytes | None) -> float:
+    """Jaccard similarity of two texts' sets of five-word shingles; 1 if neither has a word."""
+    x, y = (set(_shingles(_words(t), CHECKED_SHINGLE)) for t in (a, b))
+    both = len(x & y)
+    return both / (len(x) + len(y) - both) if x or y else 1.0
 
 
 def _signed(value: int) -> int:
@@ -112,16 +169,18 @@ def _chain_holds(difference: Column, chain: Column) -> Column:
     return out
 
 
-def fingerprint_links(prints: DataFrame, rows: int, bucket: int = BUCKET) -> DataFrame:
+def fingerprint_links(prints: DataFrame, rows: int, bucket: int = BUCKET, by: Sequence[str] = ()) -> DataFrame:
     """Links u < v between different fingerprints (column fp, distinct, ``rows`` at most) that keep all connections.
 
-    Every pair within two bits is connected by the links, and every link is such a pair.
+    Every pair within two bits is connected by the links, and every link is such a pair. Rows link only
+    within equal columns ``by``, which the result has too.
     """
+    at = [*by, "chain", "key"]
     few = lambda df: fewer_tasks(df, rows, ROWS_PER_TASK)
-    keys = few(prints).select("fp", F.inline(_keys(F.col("fp"))))
-    sizes = cut(few(keys.groupBy("chain", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")))
-    shared = few(keys.join(sizes, ["chain", "key"]))
-    groups = shared.filter(F.col("n") <= bucket).groupBy("chain", "key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    keys = few(prints).select(*by, "fp", F.inline(_keys(F.col("fp"))))
+    sizes = cut(few(keys.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")))
+    shared = few(keys.join(sizes, at))
+    groups = shared.filter(F.col("n") <= bucket).groupBy(*at).agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     pairs = F.flatten(
         F.transform(
             "fps",
@@ -131,13 +190,13 @@ def fingerprint_links(prints: DataFrame, rows: int, bucket: int = BUCKET) -> Dat
             ),
         )
     )
-    near = few(groups.select(F.inline(pairs)))
+    near = few(groups.select(*by, F.inline(pairs)))
     if sizes.filter(F.col("n") > bucket).isEmpty():
         return near.distinct()
-    hot = few(shared.filter(F.col("n") > bucket).select("fp").distinct())
+    hot = few(shared.filter(F.col("n") > bucket).select(*by, "fp").distinct())
     flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)]
-    balls = hot.select("fp", F.explode(F.array(*flips)).alias("centre")).groupBy("centre").agg(F.sort_array(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)
-    stars = balls.select(F.inline(F.transform(F.slice("fps", 2, 65), lambda y: F.struct(F.col("fps")[0].alias("u"), y.alias("v")))))
+    balls = hot.select(*by, "fp", F.explode(F.array(*flips)).alias("centre")).groupBy(*by, "centre").agg(F.sort_array(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)
+    stars = balls.select(*by, F.inline(F.transform(F.slice("fps", 2, 65), lambda y: F.struct(F.col("fps")[0].alias("u"), y.alias("v")))))
     return near.unionByName(few(stars)).distinct()
 
 
@@ -147,43 +206,102 @@ def _classes(prints: DataFrame, rows: int) -> DataFrame:
     return cut(fewer_tasks(one, rows, ROWS_PER_TASK))
 
 
+def _named(first: DataFrame, own: DataFrame, comps: DataFrame, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Documents with their group: a null id takes the first id of its own class of the first view."""
+    named = few(few(first).join(own, "fp", "left")).select(F.coalesce("doc_id", "first_id").alias("node"), "doc_id", "fingerprint")
+    return named.join(few(comps), "node", "left").select("doc_id", "fingerprint", F.coalesce("component", "node").alias("component_id"))
+
+
+def _candidates(prints: DataFrame, rows: int, views: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(sure, unsure): ends u, v of texts with one set of shingles, and of those that a further view brings together."""
+    few = lambda df: fewer_tasks(df, rows, ROWS_PER_TASK)
+    wider = lambda df: fewer_tasks(df, rows * (views - 1), ROWS_PER_TASK)
+    keyed = prints.filter("doc_id is not null").select("doc_id", "fps", F.get("fps", F.lit(views)).alias("k1"), F.get("fps", F.lit(views + 1)).alias("k2"))
+    texts = cut(few(few(keyed).groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.first("fps").alias("fps"))))
+    sure = few(few(keyed.select("doc_id", "k1", "k2")).join(texts.drop("fps"), ["k1", "k2"]).filter("doc_id <> first_id")).select(F.col("doc_id").alias("u"), F.col("first_id").alias("v"))
+    seen = texts.select("first_id", F.posexplode(F.slice("fps", 2, views - 1)).alias("view", "fp"))
+    one = cut(wider(wider(seen).groupBy("view", "fp").agg(F.min("first_id").alias("first"))))
+    same = wider(wider(seen).join(one, ["view", "fp"]).filter("first_id <> first")).select(F.col("first_id").alias("u"), F.col("first").alias("v"))
+    links = fingerprint_links(one, rows * (views - 1), bucket, by=["view"])
+    a = wider(links.join(one.select("view", F.col("fp").alias("u"), F.col("first").alias("a")), ["view", "u"]))
+    b = wider(a.join(one.select("view", F.col("fp").alias("v"), F.col("first").alias("b")), ["view", "v"])).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    both = same.unionByName(b).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return sure, cut(wider(both))
+
+
+def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs u, v whose whole texts (id, text) are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            holds = [similarity(x.as_py(), y.as_py()) >= SIMILARITY for x, y in zip(b.column("a"), b.column("b"), strict=True)]
+            yield b.select(["u", "v"]).filter(pa.array(holds, pa.bool_()))
+
+    one = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
+    both = one.join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _grown(edges: DataFrame, unsure: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, component over ``edges`` and those of the unsure pairs that hold.
+
+    A round checks a few pairs of each text; pairs whose ends are in one component by then need no check.
+    So a group of many similar texts costs a few checks for each of them, and none that matters is left out.
+    """
+    comps = star_components(edges)
+    ids = cut(unsure.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    n = ids.count()
+    if not n:
+        return comps
+    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    wanted = F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("shuffle_hash")  # counted: 4 MB at most
+    texts = cut(whole.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    end = lambda x: comps.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}"))
+    left, checks = unsure, FIRST_CHECKS
+    while True:
+        apart = left.join(end("u"), "u", "left").join(end("v"), "v", "left").filter(F.coalesce("in_u", "u") != F.coalesce("in_v", "v"))
+        turn = F.row_number().over(Window.partitionBy("u").orderBy("v"))
+        ranked = cut(apart.select("u", "v", turn.alias("turn")))
+        if ranked.isEmpty():
+            return comps
+        held = _checked(ranked.filter(F.col("turn") <= checks).select("u", "v"), texts)
+        comps = star_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(held))
+        left, checks = ranked.filter(F.col("turn") > checks).select("u", "v"), checks * MORE_CHECKS
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", views: Sequence[View] = (View(),), bucket: int = BUCKET) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits, of the first view), component_id.
 
-    Documents link if their fingerprints of any view differ in two bits or fewer; a group is what links
-    connect, named by its smallest id. Null and blank texts have fingerprint zero and link like any
-    other. Repeated rows stay. A null id takes part but never names a group, unless the group
-    has no other (then component_id is null). With several views a null id joins the group of the first.
-    An empty table gives an empty result. Only the id and text are read; other columns don't matter.
+    Documents link if their fingerprints of the first view differ in two bits or fewer; if those of a further
+    view do and their five-word shingles are 0.8 similar; or if their sets of five-word shingles are equal. A
+    group is what links connect, named by its smallest id. Null and blank texts have fingerprint zero and
+    link like any other. Repeated rows stay. A null id takes part in the first view but never names a
+    group, unless the group has no other (then component_id is null). With several views a null id joins the
+    group of the first, and of different texts with one id the least is compared. An empty table gives an
+    empty result. Only the id and text are read; other columns don't matter.
     """
-    of = lambda texts: [[_signed(fingerprint(t, v)) for v in views] for t in texts]
+    one_view = len(views) == 1
+    of = lambda texts: [[_signed(f) for f in fingerprints(t, views)] + ([] if one_view else set_key(t)) for t in texts]
     prints = cut(per_text(docs, id_col, text_col, "array<bigint>", of).withColumnRenamed("value", "fps"))
     rows = prints.count()
     few = lambda df: fewer_tasks(df, rows, ROWS_PER_TASK)
-    view = lambda v: prints.select("doc_id", F.get("fps", F.lit(v)).alias("fp"))
     first = prints.select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0")).alias("fingerprint"), F.get("fps", F.lit(0)).alias("fp"))
-    if len(views) == 1:
-        classes = _classes(view(0), rows)
-        comps = star_components(fingerprint_links(classes.select("fp"), rows, bucket))
+    classes = _classes(first.select("doc_id", "fp"), rows)
+    links = fingerprint_links(classes.select("fp"), rows, bucket)
+    if one_view:
+        comps = star_components(links)
         linked = few(classes.join(few(comps).withColumnRenamed("node", "fp"), "fp", "left")).select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
         smallest = few(linked.groupBy("root").agg(F.min("first_id").alias("component_id")))
         # materialised, so that a fingerprint with a third of the rows is a skewed join that can be split
         members = cut(few(linked.join(smallest, "root").select("fp", "component_id")))
         return few(first).join(members, "fp", "left").select("doc_id", "fingerprint", "component_id")
-    # each view links a document to the first of its class, and classes by their firsts; the union has the groups
-    ends = []
-    for v in range(len(views)):
-        classes = _classes(view(v), rows)
-        links = fingerprint_links(classes.select("fp"), rows, bucket)
-        one = few(links.join(classes.select(F.col("fp").alias("u"), F.col("first_id").alias("a")), "u"))
-        both = few(one.join(classes.select(F.col("fp").alias("v"), F.col("first_id").alias("b")), "v"))
-        copies = few(few(view(v)).join(classes, "fp").filter("doc_id <> first_id"))
-        ends += [both.select(F.col("a").alias("u"), F.col("b").alias("v")), copies.select(F.col("doc_id").alias("u"), F.col("first_id").alias("v"))]
-        if v == 0:
-            own = classes
-    comps = star_components(few(reduce(DataFrame.unionByName, ends)))
-    named = few(few(first).join(own, "fp", "left")).select(F.coalesce("doc_id", "first_id").alias("node"), "doc_id", "fingerprint")
-    return named.join(few(comps), "node", "left").select("doc_id", "fingerprint", F.coalesce("component", "node").alias("component_id"))
+    # links between classes of the first view become links between their first documents
+    one = few(links.join(classes.select(F.col("fp").alias("u"), F.col("first_id").alias("a")), "u"))
+    both = few(one.join(classes.select(F.col("fp").alias("v"), F.col("first_id").alias("b")), "v")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    copies = few(few(first.select("doc_id", "fp")).join(classes, "fp").filter("doc_id <> first_id")).select(F.col("doc_id").alias("u"), F.col("first_id").alias("v"))
+    sure, unsure = _candidates(prints, rows, len(views), bucket)
+    comps = _grown(reduce(DataFrame.unionByName, [both, copies, sure]), unsure, docs, id_col, text_col)
+    return _named(first, classes, comps, few)
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", views: Sequence[View] = BROAD) -> DataFrame:

@@ -107,6 +107,53 @@ def test_broad_views_join_texts_with_a_changed_word(spark):
     assert 1 in kept and 3 in kept and 4 not in kept
 
 
+def plain_similarity(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("bucket", [1, 24])
+def test_groups_over_several_views_against_all_pairs(spark, bucket):
+    """Groups hold nothing that similarity 0.8 or the first view doesn't connect, and nearly all that it does."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(900)]
+    texts = []
+    for _ in range(30):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 260))]
+        for _ in range(rng.randint(1, 6)):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 12])):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts, 500))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(documents(spark, rows), views=simhash.BROAD, bucket=bucket).collect()}
+    prints = [plain_fingerprint(t) for t in texts]
+    root, near = list(range(len(rows))), []
+    for i in range(len(rows)):
+        for j in range(i):
+            similar = plain_similarity(texts[i], texts[j]) >= 0.8
+            assert (simhash.similarity(texts[i].encode(), texts[j].encode()) >= 0.8) == similar
+            if similar:
+                near.append((i, j))
+            if similar or bin(prints[i] ^ prints[j]).count("1") <= 2:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    groups = {}
+    for i, (doc_id, _) in enumerate(rows):
+        groups.setdefault(got[doc_id], set()).add(root[i])
+        assert got[doc_id] <= doc_id
+    assert all(len(roots) == 1 for roots in groups.values())
+    caught = sum(got[rows[i][0]] == got[rows[j][0]] for i, j in near)
+    assert len(near) > 60 and caught >= 0.95 * len(near)
+
+
+def test_equal_word_sets_of_different_order_are_not_copies(spark):
+    rng = random.Random(5)
+    base = [f"v{i}" for i in range(120)]
+    rows = [(i, " ".join(rng.sample(base, 120))) for i in range(40)]  # one class in all word-set views
+    assert simhash.keep_one_of_each_group(documents(spark, rows)).count() == 40
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicate_groups(documents(spark, [])).count() == 0
     assert simhash.keep_one_of_each_group(documents(spark, [])).count() == 0
