@@ -1,10 +1,10 @@
 """Document fingerprints by Order MinHash (Marcais et al., Bioinformatics 2019).
 
 A text is a sequence of tokens (at most eight non-blank characters each); its k-mers are five consecutive
-tokens, numbered by occurrence. For each of 16 orders of the numbered k-mers, the two smallest are taken,
-put back into text order and hashed together: an entry survives only if both the k-mers and their order
-do, which is what makes the likeness follow edit distance. The orders rank one common sample, the 64
-k-mers of smallest hash (all of them in short texts), so a long text costs one sort and not sixteen.
+tokens, numbered by occurrence over the whole text. For each of 16 orders of all the numbered k-mers, the
+two smallest are taken, put back into text order and hashed together: an entry survives only if both the
+k-mers and their order do, which is what makes the likeness follow edit distance. Texts without a repeated
+k-mer need no sort; the others one, by k-mer, for the numbers.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cellweave.llm.exprs import last_not_above, let, number_array
 
-K, SAMPLE, ENTRIES, TUPLE = 5, 64, 16, 2
+K, ENTRIES = 5, 16
 #: Documents in one range of ids, and the most ranges there may be.
 RANGE_DOCUMENTS, MAX_RANGES = 2000, 100_000
 _POSITION_BITS = 24
@@ -29,6 +29,7 @@ def _constants() -> list[int]:
 
 def signature(text: Column) -> Column:
     """array<bigint> of 16 entries (32 bits each); all zero for a text without tokens."""
+    place = (1 << _POSITION_BITS) - 1
 
     def packed(tokens: Column) -> Column:
         n = F.size(tokens)
@@ -39,37 +40,53 @@ def signature(text: Column) -> Column:
         short = F.array(F.shiftleft(F.xxhash64(F.array_join(tokens, " ")), _POSITION_BITS))
         return F.when(n >= K, each).when(n > 0, short).otherwise(F.array().cast("array<bigint>"))
 
-    def numbered(sample: Column) -> Column:
-        """The occurrence-numbered k-mers of the sample, in text order."""
-        place = (1 << _POSITION_BITS) - 1
-        kmers = F.transform(sample, lambda x: F.shiftright(x, _POSITION_BITS))
+    def kmer(x: Column) -> Column:
+        return F.shiftright(x, _POSITION_BITS)
 
-        def item(x: Column, occurrence: Column) -> Column:
-            return F.struct(x.bitwiseAND(F.lit(place)).alias("p"), F.xxhash64(F.shiftright(x, _POSITION_BITS), occurrence).alias("e"))
+    def numbered(places: Column) -> Column:
+        """The occurrence-numbered k-mers of the whole text, in text order."""
 
-        plain = F.transform(sample, lambda x: item(x, F.lit(0)))
-        repeated = F.transform(sample, lambda x: item(x, F.size(F.filter(sample, lambda y: (y < x) & (F.shiftright(y, _POSITION_BITS) == F.shiftright(x, _POSITION_BITS))))))
-        items = F.when(F.size(F.array_distinct(kmers)) == F.size(sample), plain).otherwise(repeated)
-        return F.transform(F.array_sort(items), lambda s: s["e"])
+        def runs(ordered: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (kmer(F.get(ordered, i)) != kmer(F.get(ordered, i - 1))))
 
-    low = SAMPLE - 1
+            def items(at: Column) -> Column:
+                each = F.transform(
+                    at,
+                    lambda begin, r: F.transform(
+                        F.slice(ordered, begin + 1, F.coalesce(F.get(at, r + 1), F.size(ordered)) - begin),
+                        lambda x, o: F.struct(x.bitwiseAND(F.lit(place)).alias("p"), F.xxhash64(kmer(x), o).alias("e")),
+                    ),
+                )
+                return F.transform(F.sort_array(F.flatten(each)), lambda s: s["e"])
 
-    def entry(es: Column, constant: Column) -> Column:
-        ranked = F.array_sort(F.transform(es, lambda e, i: e.bitwiseXOR(constant).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
+            return let(starts, items)
 
-        def chosen(r: Column) -> Column:
-            a, b = (F.get(r, F.lit(j)).bitwiseAND(F.lit(low)).cast("int") for j in range(TUPLE))
-            both = F.xxhash64(F.get(es, F.least(a, b)), F.get(es, F.greatest(a, b)))
-            return both.bitwiseAND(F.lit((1 << 32) - 1))
+        plain = F.transform(places, lambda x: F.xxhash64(kmer(x), F.lit(0)))
+        return F.when(F.size(F.array_distinct(F.transform(places, kmer))) == F.size(places), plain).otherwise(let(F.sort_array(places), runs))
 
-        return let(ranked, chosen)
+    def entry(es: Column, ranks: Column, constant: Column) -> Column:
+        """The two smallest of one order: the first by a pass over all, the second by what is on either side of it."""
+
+        def chosen(order: Column) -> Column:
+            def pair(first: Column) -> Column:
+                a = first.bitwiseAND(F.lit(place)).cast("int")
+                before, after = F.slice(order, F.lit(1), a), F.slice(order, a + 2, F.size(order))
+                b = F.least(F.array_min(before), F.array_min(after)).bitwiseAND(F.lit(place)).cast("int")
+                both = F.xxhash64(F.get(es, F.least(a, b)), F.get(es, F.greatest(a, b)))
+                return both.bitwiseAND(F.lit((1 << 32) - 1))
+
+            return let(F.array_min(order), pair)
+
+        return let(F.transform(ranks, lambda r: r.bitwiseXOR(constant)), chosen)
 
     def entries(es: Column) -> Column:
-        constants = number_array(_constants(), "bigint")
-        return F.when(F.size(es) > 0, F.transform(constants, lambda c: entry(es, c))).otherwise(F.array_repeat(F.lit(0).cast("long"), ENTRIES))
+        constants = number_array([c & ~place for c in _constants()], "bigint")
+        ranks = F.transform(es, lambda e, i: e.bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("long")))
+        orders = let(ranks, lambda r: F.transform(constants, lambda c: entry(es, r, c)))
+        return F.when(F.size(es) > 0, orders).otherwise(F.array_repeat(F.lit(0).cast("long"), ENTRIES))
 
     tokens = F.regexp_extract_all(text, F.lit(r"\S{1,8}"), F.lit(0))
-    return let(let(let(tokens, lambda t: F.slice(F.array_sort(packed(t)), 1, SAMPLE)), numbered), entries)
+    return let(let(let(tokens, packed), numbered), entries)
 
 
 def fingerprint_text(sig: Column) -> Column:

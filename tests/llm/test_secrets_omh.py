@@ -122,3 +122,43 @@ def test_order_counts(spark):
     halves = words[30:] + words[:30]
     a, b = sorted(orderminhash.fingerprint_documents(documents(spark, [(1, " ".join(words)), (2, " ".join(halves))])).collect(), key=lambda r: r.doc_id)
     assert a.near_next < 1  # nearly the same k-mers, in another order
+
+
+def test_a_repeated_phrase_does_not_stand_for_the_whole_text(spark):
+    """A k-mer of small hash 64 times or more, before different remainders: every k-mer of both takes part."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    words = spark.range(3000).select(F.concat(F.lit("r"), "id").alias("w"))
+    phrase = [words.orderBy(F.shiftleft(F.xxhash64(*["w"] * 5), 24)).first().w] * 75
+    rows = [(i, " ".join(phrase + [f"t{rng.randrange(10**6)}" for _ in range(400)])) for i in range(8)]
+    got = orderminhash.fingerprint_documents(documents(spark, rows)).collect()
+    assert len({r.fingerprint for r in got}) == len(rows)
+    assert all(r.near_next < 0.5 and r.near_edited < 1 for r in got)
+
+
+def test_signature_against_plain_python(spark):
+    """Both minima of every order over all occurrence-numbered k-mers, with and without repeats."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice("abcd" if i % 2 else [f"w{j}" for j in range(5000)]) for _ in range(rng.choice([1, 4, 5, 6, 90, 700]))) for i in range(40)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.sig for r in frame.select("i", orderminhash.signature(F.col("text")).alias("sig")).collect()}
+    kmers = [(i, p, re.findall(r"\S{1,8}", t)[p : p + 5]) for i, t in enumerate(texts) for p in range(max(1, len(re.findall(r"\S{1,8}", t)) - 4))]
+    full = spark.createDataFrame([(i, p, w if len(w) == 5 else [" ".join(w)]) for i, p, w in kmers], "i int, p int, w array<string>")
+    hashed = full.select("i", "p", F.when(F.size("w") == 5, F.xxhash64(*[F.get("w", F.lit(j)) for j in range(5)])).otherwise(F.xxhash64(F.get("w", F.lit(0)))).alias("h")).collect()
+    seen, rows = {}, []
+    for r in sorted(hashed, key=lambda r: (r.i, r.p)):
+        k = (((r.h << 24) + (1 << 63)) % (1 << 64) - (1 << 63)) >> 24
+        rows.append((r.i, r.p, k, seen.setdefault((r.i, k), 0)))
+        seen[r.i, k] += 1
+    numbered = spark.createDataFrame(rows, "i int, p int, k long, o int").select("i", "p", F.xxhash64("k", "o").alias("e")).collect()
+    want = []
+    for i in range(len(texts)):
+        es = [r.e for r in sorted((r for r in numbered if r.i == i), key=lambda r: r.p)]
+        for n, c in enumerate(orderminhash._constants()):
+            two = sorted(sorted(range(len(es)), key=lambda j: ((es[j] ^ c) >> 24, j))[:2])
+            want.append((i, n, es[two[0]], es[two[-1]]))
+    for r in spark.createDataFrame(want, "i int, n int, a long, b long").select("i", "n", F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 32) - 1)).alias("x")).collect():
+        assert got[r.i][r.n] == r.x
