@@ -154,6 +154,41 @@ def test_equal_word_sets_of_different_order_are_not_copies(spark):
     assert simhash.keep_one_of_each_group(documents(spark, rows)).count() == 40
 
 
+@pytest.mark.parametrize("bucket", [1, 24])
+def test_a_representative_does_not_stand_for_its_class(spark, bucket):
+    """A and B are two orders of the same words, C is B with two neighbours swapped: B and C link though A is first."""
+    rng = random.Random(15)
+    words = [f"v{i}" for i in range(120)]
+    b = rng.sample(words, 120)
+    c = [*b[:60], b[61], b[60], *b[62:]]
+    rows = [(1, " ".join(words)), (2, " ".join(b)), (3, " ".join(c))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(documents(spark, rows), views=simhash.BROAD, bucket=bucket).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
+
+
+@pytest.mark.parametrize("a_round", [simhash.PAIRS_A_ROUND, 500])
+def test_large_classes_are_compared_whole(spark, monkeypatch, a_round):
+    """Many pairs of copies in classes whose members share half their text, and one of a third: none but true pairs link."""
+    monkeypatch.setattr(simhash, "PAIRS_A_ROUND", a_round)
+    rng = random.Random(16)
+    common = [f"c{i}" for i in range(300)]
+    texts = []
+    for i in range(12):
+        own = [f"x{i}_{rng.randrange(10**6)}" for _ in range(120)]
+        changed = [*own[:30], "new", *own[31:]]
+        texts += [" ".join(common + own), " ".join(common + changed)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(documents(spark, rows), views=simhash.BROAD, bucket=2).collect()}
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if plain_similarity(texts[i], texts[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert got == dict(enumerate(root)) and len(set(root)) == 12
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicate_groups(documents(spark, [])).count() == 0
     assert simhash.keep_one_of_each_group(documents(spark, [])).count() == 0
