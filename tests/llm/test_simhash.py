@@ -209,3 +209,13 @@ def test_bands_reach_pairs_at_the_limit_whatever_the_length():
                 seen += 1
                 assert set(simhash.set_keys(a, bands)[3:]) & set(simhash.set_keys(b, bands)[3:])
         assert seen > 60
+
+
+def test_equal_fingerprints_link_only_what_is_similar(spark):
+    """A phrase that makes up most of the shingles decides the fingerprint; different remainders stay apart with bands."""
+    rng = random.Random(18)
+    rows = [(i, " ".join(["over"] * 260 + [f"x{rng.randrange(10**6)}" for _ in range(200)])) for i in range(5)]
+    docs = documents(spark, rows)
+    assert len({plain_fingerprint(t) for _, t in rows}) == 1
+    assert simhash.keep_one_of_each_group(docs, views=(simhash.View(),)).count() == 1
+    assert simhash.keep_one_of_each_group(docs).count() == 5
