@@ -43,7 +43,7 @@ def last_not_above(keys: Sequence[Column], bounds: Sequence[Column], n: int) ->
 def per_text(docs: DataFrame, id_col: str, text_col: str, kind: str, of: Callable[[list[bytes | None]], list]) -> DataFrame:
     """doc_id and ``value`` (of Spark type ``kind``): ``of`` a batch's whole texts, as UTF-8, one value each."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    arrow = {"double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<bigint>": pa.list_(pa.int64())}[kind]
+    arrow = {"double": pa.float64(), "bigint": pa.int64(), "array<double>": pa.list_(pa.float64()), "array<bigint>": pa.list_(pa.int64())}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

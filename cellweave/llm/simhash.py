@@ -12,26 +12,20 @@ fingerprints are put, each with all of its one-bit neighbours, into balls of rad
 fingerprints share a ball's centre exactly if they differ in two bits or fewer, and a ball has 65
 members at most, so linking each to the ball's smallest keeps all connections with 65 rows for each.
 
-Two bits of one fingerprint reach few texts with changed words. So groups may also be formed over bands:
-MinHash keys of the five-word shingles, whose loss depends on the similarity alone and not on the length.
-Then every link, the fingerprint's too, is a candidate that holds only if the whole texts' five-word
-shingles have a Jaccard similarity of 0.8 or more. No link is taken to be transitive before it holds: all
-pairs of texts that share a key are linked, refuted, or in one group by other links.
+Two bits of one fingerprint reach few texts with changed words: at a similarity of 0.8 of the five-word
+shingles, about 10 of 64 bits differ, and for so many the segments of a ring are too short to tell texts
+apart. So groups may be completed (``similar``): the links are candidates then, the rest of the candidates come
+from an exact join of the shingle sets, and every one is checked by the whole texts.
 """
 
 from __future__ import annotations
 
-import random
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
-from functools import cache, reduce
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.exprs import per_text, unused
+from cellweave.llm.similar import shingles, similar_components, words
 from cellweave.operators.components import star_components
 from cellweave.plans.lineage import cut, fewer_tasks
 
@@ -46,113 +40,23 @@ ROWS_PER_TASK = 25_000
 _SPREAD = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], dtype=np.uint64)
 
 
-#: Shingle length and least similarity that a candidate of a further view must have.
-CHECKED_SHINGLE, SIMILARITY = 5, 0.8
-#: Candidates of a text that the first round checks, and how many times more each later round does.
-FIRST_CHECKS, MORE_CHECKS = 4, 8
-#: About as many pairs of the members of large classes are looked at in a round, before components are formed anew.
-PAIRS_A_ROUND = 4_000_000
-#: Pairs that take one text from the same row of it: a text in more pairs is sent in several rows.
-PAIRS_OF_A_ROW = 64
-#: Ids (8 bytes each) that may be broadcast.
-BROADCAST_IDS = 500_000
-
-
-@dataclass(frozen=True)
-class View:
-    """What a fingerprint is made of: shingles of so many words, with repeats or each once, hashed with a seed."""
-
-    shingle: int = 3
-    distinct: bool = False
-    seed: int = 42
-
-
-@dataclass(frozen=True)
-class Bands:
-    """Keys of a text: for each of ``n`` bands, its ``rows`` MinHash values of five-word shingles in one number.
-
-    Two texts of similarity s miss each other with a chance of (1 - s^rows)^n: 3 in a million at 0.8.
-    """
-
-    n: int = 32
-    rows: int = 5
-
-
-#: The first view, and bands for the pairs that it doesn't reach.
-BROAD = (View(), Bands())
-
-
-def _shingles(words: list[bytes], k: int) -> list[bytes]:
-    """Shingles of ``k`` words, repeats included; the whole sequence of fewer words; none without words."""
-    if k == 1 or not words:
-        return words
-    line = b" ".join(words)
-    if len(words) <= k:
-        return [line]
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-k]]).tolist()
-    return [line[a:b] for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)]
-
-
-def _words(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []  # bytes: A-Z and ASCII white space only
-
-
-def fingerprints(text: bytes | None, views: Sequence[View]) -> list[int]:
-    """The unsigned 64-bit fingerprint of a UTF-8 text in each view; 0 for null, empty or blank texts."""
-    import xxhash
-
-    words, digest = _words(text), xxhash.xxh64_digest
-    if not words:
-        return [0] * len(views)
-    raw, out = {}, []
-    for view in views:
-        source = (view.shingle, view.distinct, view.seed)
-        if source not in raw:
-            shingles = _shingles(words, view.shingle)
-            raw[source] = np.frombuffer(b"".join([digest(x, view.seed) for x in (set(shingles) if view.distinct else shingles)]), ">u8")
-        lanes = _SPREAD[raw[source].view(np.uint8).reshape(-1, 8)]
-        n = len(lanes)
-        # 255 rows at a time fit the byte-wide counters that the table spreads bits into
-        counts = np.add.reduceat(lanes, np.arange(0, n, 255), axis=0).view(np.uint8).reshape(-1, 8, 8).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits((2 * counts > n)[:, ::-1]).tobytes(), "big"))
-    return out
-
-
-def fingerprint(text: bytes | None, view: View = View()) -> int:
-    return fingerprints(text, (view,))[0]
-
-
-@cache
-def _mixers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of n hash functions a constant to xor with and an odd one to multiply with."""
-    rng = random.Random(5)
-    return np.array([rng.getrandbits(64) for _ in range(n)], np.uint64), np.array([rng.getrandbits(64) | 1 for _ in range(n)], np.uint64)
+#: Words of a shingle, and the seed of its hash.
+SHINGLE, SEED = 3, 42
 
 
-def set_keys(text: bytes | None, bands: Bands) -> list[int]:
-    """Signed 64-bit numbers: two that texts with the same set of five-word shingles share, the set's size, and
-    the key of each band (none for texts without words)."""
+def fingerprint(text: bytes | None) -> int:
+    """The unsigned 64-bit fingerprint of a UTF-8 text; 0 for null, empty or blank texts."""
     import xxhash
 
-    digests = sorted({xxhash.xxh3_128_digest(x) for x in _shingles(_words(text), CHECKED_SHINGLE)})
-    whole = np.frombuffer(xxhash.xxh3_128_digest(b"".join(digests)), ">i8").tolist()
-    if not digests:
-        return [*whole, 0]
-    hashes = np.frombuffer(b"".join(digests), "<u8")[::2]
-    xors, factors = _mixers(bands.n * bands.rows)
-    least = np.full(len(xors), (1 << 64) - 1, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(least, ((hashes[at : at + 1024, None] ^ xors) * factors).min(axis=0), out=least)
-    keys = [_signed(xxhash.xxh3_64_intdigest(least[i * bands.rows : (i + 1) * bands.rows].tobytes(), i)) for i in range(bands.n)]
-    return [*whole, len(digests), *keys]
-
-
-def similarity(a: bytes | None, b: bytes | None) -> float:
-    """Jaccard similarity of two texts' sets of five-word shingles; 1 if neither has a word."""
-    x, y = (set(_shingles(_words(t), CHECKED_SHINGLE)) for t in (a, b))
-    both = len(x & y)
-    return both / (len(x) + len(y) - both) if x or y else 1.0
+    parts = shingles(words(text), SHINGLE)
+    if not parts:
+        return 0
+    digest = xxhash.xxh64_digest
+    lanes = _SPREAD[np.frombuffer(b"".join([digest(x, SEED) for x in parts]), np.uint8).reshape(-1, 8)]
+    n = len(lanes)
+    # 255 rows at a time fit the byte-wide counters that the table spreads bits into
+    counts = np.add.reduceat(lanes, np.arange(0, n, 255), axis=0).view(np.uint8).reshape(-1, 8, 8).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits((2 * counts > n)[:, ::-1]).tobytes(), "big")
 
 
 def _signed(value: int) -> int:
@@ -191,15 +95,14 @@ def _chain_holds(difference: Column, chain: Column) -> Column:
     return out
 
 
-def fingerprint_links(prints: DataFrame, rows: int, bucket: int = BUCKET, by: Sequence[str] = ()) -> DataFrame:
+def fingerprint_links(prints: DataFrame, rows: int, bucket: int = BUCKET) -> DataFrame:
     """Links u < v between different fingerprints (column fp, distinct, ``rows`` at most) that keep all connections.
 
-    Every pair within two bits is connected by the links, and every link is such a pair. Rows link only
-    within equal columns ``by``, which the result has too.
+    Every pair within two bits is connected by the links, and every link is such a pair.
     """
-    at = [*by, "chain", "key"]
+    at = ["chain", "key"]
     few = lambda df: fewer_tasks(df, rows, ROWS_PER_TASK)
-    keys = few(prints).select(*by, "fp", F.inline(_keys(F.col("fp"))))
+    keys = few(prints).select("fp", F.inline(_keys(F.col("fp"))))
     sizes = cut(few(keys.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")))
     shared = few(keys.join(sizes, at))
     groups = shared.filter(F.col("n") <= bucket).groupBy(*at).agg(F.sort_array(F.collect_list("fp")).alias("fps"))
@@ -212,13 +115,13 @@ def fingerprint_links(prints: DataFrame, rows: int, bucket: int = BUCKET, by: Se
             ),
         )
     )
-    near = few(groups.select(*by, F.inline(pairs)))
+    near = few(groups.select(F.inline(pairs)))
     if sizes.filter(F.col("n") > bucket).isEmpty():
         return near.distinct()
-    hot = few(shared.filter(F.col("n") > bucket).select(*by, "fp").distinct())
+    hot = few(shared.filter(F.col("n") > bucket).select("fp").distinct())
     flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)]
-    balls = hot.select(*by, "fp", F.explode(F.array(*flips)).alias("centre")).groupBy(*by, "centre").agg(F.sort_array(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)
-    stars = balls.select(*by, F.inline(F.transform(F.slice("fps", 2, 65), lambda y: F.struct(F.col("fps")[0].alias("u"), y.alias("v")))))
+    balls = hot.select("fp", F.explode(F.array(*flips)).alias("centre")).groupBy("centre").agg(F.sort_array(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)
+    stars = balls.select(F.inline(F.transform(F.slice("fps", 2, 65), lambda y: F.struct(F.col("fps")[0].alias("u"), y.alias("v")))))
     return near.unionByName(few(stars)).distinct()
 
 
@@ -228,182 +131,70 @@ def _classes(prints: DataFrame, rows: int) -> DataFrame:
     return cut(fewer_tasks(one, rows, ROWS_PER_TASK))
 
 
-def _named(first: DataFrame, own: DataFrame, comps: DataFrame, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Documents with their group: a null id takes the first id of its own class of the first view."""
-    named = few(few(first).join(own, "fp", "left")).select(F.coalesce("doc_id", "first_id").alias("node"), "doc_id", "fingerprint")
-    return named.join(few(comps), "node", "left").select("doc_id", "fingerprint", F.coalesce("component", "node").alias("component_id"))
-
-
-def _ends(u: Column, v: Column) -> list[Column]:
-    return [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
-
-
-def _may_hold(n: Column, m: Column) -> Column:
-    """Whether sets of these sizes can be 0.8 similar."""
-    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+def _prints(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """doc_id and fp of every row, and the number of rows."""
+    of = lambda texts: [_signed(fingerprint(t)) for t in texts]
+    prints = cut(per_text(docs, id_col, text_col, "bigint", of).withColumnRenamed("value", "fp"))
+    return prints, prints.count()
 
 
-def _candidates(prints: DataFrame, classes: DataFrame, links: DataFrame, rows: int, bands: Bands, bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sure, unsure, large): ends u, v of texts with one set of shingles; pairs u, v to check; large classes.
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
-    Of different sets, all pairs of a band's class of at most ``bucket`` are to be checked. A larger class
-    (rows key, id, n) proposes its smallest id with each, and is left to ``_grown`` for what this leaves apart.
-    The first view proposes each class's smallest id with its others and with the next classes' smallest.
+    Documents link if their fingerprints differ in two bits or fewer. A group is what links connect, named by
+    its smallest id. Null and blank texts have fingerprint zero and link like any other. Repeated rows stay. A
+    null id takes part but never names a group, unless the group has no other (then component_id is null). An
+    empty table gives an empty result. Only the id and text are read; other columns don't matter.
     """
+    prints, rows = _prints(docs, id_col, text_col)
     few = lambda df: fewer_tasks(df, rows, ROWS_PER_TASK)
-    wider = lambda df: fewer_tasks(df, rows * bands.n, ROWS_PER_TASK)
-    at = lambda i: F.get("fps", F.lit(i))
-    keyed = prints.filter("doc_id is not null").select("doc_id", "fps", at(1).alias("k1"), at(2).alias("k2"))
-    texts = cut(few(few(keyed).groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.first("fps").alias("fps"))))
-    sure = few(few(keyed.select("doc_id", "k1", "k2")).join(texts.drop("fps"), ["k1", "k2"]).filter("doc_id <> first_id")).select(F.col("doc_id").alias("u"), F.col("first_id").alias("v"))
-    seen = texts.select(F.col("first_id").alias("id"), at(3).alias("n"), F.explode(F.slice("fps", 5, bands.n)).alias("key"))
-    sizes = cut(wider(wider(seen).groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n")).alias("first")).filter("members > 1")))
-    hot = sizes.filter(F.col("members") > bucket)
-    n_hot = hot.count()
-    hot = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot  # counted
-    cold = seen.join(hot.select("key"), "key", "left_anti") if n_hot else seen
-    groups = wider(wider(cold).join(sizes.filter(F.col("members") <= bucket).select("key"), "key")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids"))
-    every = F.flatten(
-        F.transform(
-            "ids",
-            lambda x, i: F.transform(
-                F.filter(F.slice("ids", i + 2, F.size("ids")), lambda y: _may_hold(x["n"], y["n"])),
-                lambda y: F.struct(y["id"].alias("u"), x["id"].alias("v")),
-            ),
-        )
-    )
-    pairs = wider(groups.select(F.inline(every)))
-    large = cut(seen.join(hot, "key").select("key", "id", "n", "first"))
-    stars = large.filter(_may_hold(F.col("n"), F.col("first")["n"])).select(F.col("id").alias("u"), F.col("first")["id"].alias("v"))
-    own = few(few(texts.select("first_id", at(0).alias("fp"))).join(classes.withColumnRenamed("first_id", "first"), "fp")).select(F.col("first_id").alias("u"), F.col("first").alias("v"))
-    both = pairs.unionByName(stars).unionByName(own).unionByName(links).filter("u <> v").select(*_ends(F.col("u"), F.col("v"))).distinct()
-    return sure, cut(wider(both)), large.select("key", "id", "n")
-
-
-def _with_text(pairs: DataFrame, texts: DataFrame, end: str, name: str) -> DataFrame:
-    """``pairs`` with the text of one end; a text in many pairs is sent in several rows, so that no task has them all."""
-    many = F.broadcast(pairs.groupBy(end).count().filter(F.col("count") > PAIRS_OF_A_ROW).select(end, F.ceil(F.col("count") / PAIRS_OF_A_ROW).cast("int").alias("copies")))
-    copies = F.coalesce("copies", F.lit(1))
-    dealt = pairs.join(many, end, "left").withColumn("part", F.pmod(F.hash("u", "v"), copies)).drop("copies")
-    sent = texts.withColumnRenamed("id", end).join(many, end, "left").select(end, F.col("text").alias(name), F.explode(F.sequence(F.lit(0), copies - 1)).alias("part"))
-    return dealt.join(sent, [end, "part"]).drop("part")
-
-
-def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs u, v whose whole texts (id, text) are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            holds = [similarity(x.as_py(), y.as_py()) >= SIMILARITY for x, y in zip(b.column("a"), b.column("b"), strict=True)]
-            yield b.select(["u", "v"]).filter(pa.array(holds, pa.bool_()))
+    classes = _classes(prints, rows)
+    comps = star_components(fingerprint_links(classes.select("fp"), rows, bucket))
+    linked = few(classes.join(few(comps).withColumnRenamed("node", "fp"), "fp", "left")).select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
+    smallest = few(linked.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    # materialised, so that a fingerprint with a third of the rows is a skewed join that can be split
+    members = cut(few(linked.join(smallest, "root").select("fp", "component_id")))
+    shown = few(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "fp")
+    return shown.join(members, "fp", "left").select("doc_id", "fingerprint", "component_id")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """doc_id, component_id of every row with an id: groups of texts that are 0.8 similar.
+
+    Documents link if their five-word shingles (white space apart, A-Z in lower case) have a Jaccard similarity of
+    0.8 or more; links of fingerprints are candidates like others. A group is what links connect, named by its
+    smallest id. Null and blank texts are similar to each other. Repeated rows stay; of different texts with one
+    id the least is compared. Rows with a null id are left out. An empty table gives an empty result.
+    """
+    prints, rows = _prints(docs, id_col, text_col)
+    few = lambda df: fewer_tasks(df, rows, ROWS_PER_TASK)
+    classes = _classes(prints.filter("doc_id is not null"), rows)
+    links = fingerprint_links(classes.select("fp"), rows, bucket)
 
-    both = _with_text(_with_text(pairs, texts, "u", "a"), texts, "v", "b")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    def pairs(sets: DataFrame) -> DataFrame:
+        """Between the first documents of linked fingerprints, and of each fingerprint's different texts."""
+        at = lambda x, y: classes.select(F.col("fp").alias(x), F.col("first_id").alias(y))
+        between = few(few(links.join(at("u", "a"), "u")).join(at("v", "b"), "v")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        firsts = few(few(sets).groupBy("k1", "k2").agg(F.min("id").alias("doc_id")))
+        within = few(few(prints.join(firsts, "doc_id")).join(classes, "fp")).select(F.col("doc_id").alias("u"), F.col("first_id").alias("v"))
+        return between.unionByName(within)
 
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    comps = similar_components(texts, pairs, bucket)
+    named = few(prints.filter("doc_id is not null").select("doc_id")).join(few(comps).withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return named.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
-def _settled(comps: DataFrame, unsure: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, component over ``comps`` and those of the unsure pairs that hold.
 
-    A round checks a few pairs of each text; pairs whose ends are in one component by then need no check.
-    So a group of many similar texts costs a few checks for each of them, and none that matters is left out.
-    """
-    end = lambda x: comps.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}"))
-    left, checks = unsure, FIRST_CHECKS
-    while True:
-        apart = left.join(end("u"), "u", "left").join(end("v"), "v", "left").filter(F.coalesce("in_u", "u") != F.coalesce("in_v", "v"))
-        turn = F.row_number().over(Window.partitionBy("u").orderBy("v"))
-        ranked = cut(apart.select("u", "v", turn.alias("turn")))
-        if ranked.isEmpty():
-            return comps
-        held = cut(_checked(ranked.filter(F.col("turn") <= checks).select("u", "v"), texts))
-        if not held.isEmpty():
-            comps = star_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(held))
-        left, checks = ranked.filter(F.col("turn") > checks).select("u", "v"), checks * MORE_CHECKS
-
-
-def _grown(edges: DataFrame, unsure: DataFrame, large: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, component over ``edges``, those of the unsure pairs that hold, and all that hold within large classes.
-
-    In a large class, whatever is outside its most frequent component is compared with all members of other
-    components. Where that is very many pairs, a round takes a share of these outsiders and then
-    retires them, as all their pairs are settled; the last round takes all that are left.
-    """
-    comps = star_components(edges)
-    ids = cut(unsure.select(F.explode(F.array("u", "v")).alias("id")).unionByName(large.select("id")).distinct())
-    n = ids.count()
-    if not n:
-        return comps
-    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    wanted = F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("shuffle_hash")  # counted: 4 MB at most
-    texts = cut(whole.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-    comps = _settled(comps, unsure, texts)
-    turn = 0
-    while True:
-        members = cut(large.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")))
-        parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
-        mixed = cut(parts.agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("members"), F.max("c").alias("most")).filter("most < members"))
-        keys, cost = mixed.agg(F.count(F.lit(1)), F.sum(F.col("members") * (F.col("members") - F.col("most")))).first()
-        if not keys:
-            return comps
-        small = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_IDS else df
-        open_ = members.join(small(mixed, keys), "key")
-        share = PAIRS_A_ROUND / cost
-        drawn = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1_000_000)) < share * 1_000_000
-        outside = cut(open_.filter((F.col("component") != F.col("main")) & drawn).select("key", F.col("id").alias("x"), F.col("n").alias("m"), F.col("component").alias("other")))
-        outsiders = small(outside, outside.count())
-        pairs = open_.join(outsiders, "key").filter((F.col("component") != F.col("other")) & _may_hold(F.col("n"), F.col("m"))).select(*_ends(F.col("id"), F.col("x"))).distinct()
-        comps = _settled(comps, cut(pairs), texts)
-        if share >= 1:
-            return comps
-        large = members.join(small(outside.select("key", F.col("x").alias("id")), outside.count()), ["key", "id"], "left_anti").drop("component")
-        turn += 1
-
-
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", views: Sequence[View | Bands] = (View(),), bucket: int = BUCKET) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits, of the first view), component_id.
-
-    Documents link if their fingerprints of the view differ in two bits or fewer. With bands as well they link if
-    their five-word shingles are 0.8 similar, and of such pairs (1 - 0.8^5)^32 at most, 3 in a million, share no
-    band's key and are found only if the fingerprints or other links bring them together. A group is what links connect, named by its smallest id. Null and blank texts have fingerprint zero and
-    link like any other. Repeated rows stay. A null id takes part in the first view but never names a
-    group, unless the group has no other (then component_id is null). With bands a null id joins the
-    group of its fingerprint's smallest id, and of different texts with one id the least is compared. An empty table gives an
-    empty result. Only the id and text are read; other columns don't matter.
-    """
-    view, bands = views[0], views[1] if len(views) > 1 else None
-    of = lambda texts: [[_signed(fingerprint(t, view)), *(set_keys(t, bands) if bands else [])] for t in texts]
-    prints = cut(per_text(docs, id_col, text_col, "array<bigint>", of).withColumnRenamed("value", "fps"))
-    rows = prints.count()
-    few = lambda df: fewer_tasks(df, rows, ROWS_PER_TASK)
-    first = prints.select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0")).alias("fingerprint"), F.get("fps", F.lit(0)).alias("fp"))
-    classes = _classes(first.select("doc_id", "fp"), rows)
-    links = fingerprint_links(classes.select("fp"), rows, bucket)
-    if bands is None:
-        comps = star_components(links)
-        linked = few(classes.join(few(comps).withColumnRenamed("node", "fp"), "fp", "left")).select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
-        smallest = few(linked.groupBy("root").agg(F.min("first_id").alias("component_id")))
-        # materialised, so that a fingerprint with a third of the rows is a skewed join that can be split
-        members = cut(few(linked.join(smallest, "root").select("fp", "component_id")))
-        return few(first).join(members, "fp", "left").select("doc_id", "fingerprint", "component_id")
-    # links between classes of the first view become candidates between their first documents
-    one = few(links.join(classes.select(F.col("fp").alias("u"), F.col("first_id").alias("a")), "u"))
-    both = few(one.join(classes.select(F.col("fp").alias("v"), F.col("first_id").alias("b")), "v")).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    sure, unsure, large = _candidates(prints, classes, both, rows, bands, bucket)
-    comps = _grown(sure, unsure, large, docs, id_col, text_col)
-    return _named(first, classes, comps, few)
-
-
-def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", views: Sequence[View | Bands] = BROAD) -> DataFrame:
-    """The documents that name their group (smallest id); of rows that repeat an id, one.
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: bool = True, bucket: int = BUCKET) -> DataFrame:
+    """The documents that name their group (smallest id) of ``similar_groups``, or of fingerprints; of rows
+    that repeat an id, one.
 
     A row with a null id cannot name a group and is kept as it is.
     """
     kept_id = unused(docs, "__kept")
-    groups = cut(near_duplicate_groups(docs, id_col, text_col, views).select("doc_id", "component_id"))
+    groups = cut((similar_groups if similar else near_duplicate_groups)(docs, id_col, text_col, bucket=bucket).select("doc_id", "component_id"))
     named = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
-    kept = docs.filter(F.col(id_col).isNotNull()).join(named.hint("shuffle_hash"), F.col(id_col) == F.col(kept_id), "left_semi")
+    kept = docs.filter(F.col(id_col).isNotNull()).join(named, F.col(id_col) == F.col(kept_id), "left_semi")
     if not groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates([id_col])
-    if groups.filter("doc_id is null").isEmpty():
-        return kept
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -3,7 +3,7 @@ import random
 import pytest
 import xxhash
 
-from cellweave.llm import simhash
+from cellweave.llm import similar, simhash
 from tests.llm.helpers import AWKWARD, collected, documents
 
 
@@ -90,14 +90,14 @@ def test_whole_query_against_all_pairs(spark, corpus):
 
 def test_one_document_of_each_group_stays(spark, corpus):
     docs = documents(spark, corpus)
-    kept = simhash.keep_one_of_each_group(docs, views=(simhash.View(),))
+    kept = simhash.keep_one_of_each_group(docs, similar=False)
     assert kept.columns == docs.columns
     prints = [(i, plain_fingerprint(t)) for i, t in corpus]
     want = {g for g in brute_groups(prints)} | {None}
     assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(map(repr, want))
 
 
-def test_broad_views_join_texts_with_a_changed_word(spark):
+def test_similar_texts_join_texts_with_a_changed_word(spark):
     rng = random.Random(9)
     base = [f"v{rng.randrange(10**6)}" for _ in range(400)]
     other = [f"u{rng.randrange(10**6)}" for _ in range(400)]
@@ -112,45 +112,90 @@ def plain_similarity(a, b):
     return len(x & y) / len(x | y)
 
 
-@pytest.mark.parametrize("bucket", [1, 24])
-def test_groups_over_several_views_against_all_pairs(spark, bucket):
-    """Groups hold nothing that similarity 0.8 or the first view doesn't connect, and nearly all that it does."""
+def root_of_pairs(texts):
+    """For each text the smallest index that links of similarity 0.8 reach, by comparing all pairs."""
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if plain_similarity(texts[i], texts[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("bucket, max_ranked", [(1, 10**6), (24, 10**6), (2, 40)])
+def test_groups_are_those_of_all_similar_pairs(spark, monkeypatch, bucket, max_ranked):
+    """Changed, added and cut words, repeats, a passage that half of the texts share: exactly the groups of all pairs."""
+    monkeypatch.setattr(similar.similar_components, "__defaults__", (None, bucket, max_ranked))
+    monkeypatch.setattr(similar, "BLOCK", 8)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(900)]
+    passage = [rng.choice(words) for _ in range(60)]
     texts = []
-    for _ in range(30):
-        base = [rng.choice(words) for _ in range(rng.randint(60, 260))]
+    for g in range(30):
+        base = [rng.choice(words) for _ in range(rng.choice([3, 12, 60, 160, 260]))]
         for _ in range(rng.randint(1, 6)):
             copy = list(base)
             for _ in range(rng.choice([0, 1, 2, 3, 12])):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
-            texts.append(" ".join(copy))
-    rows = list(enumerate(texts, 500))
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(documents(spark, rows), views=simhash.BROAD, bucket=bucket).collect()}
-    prints = [plain_fingerprint(t) for t in texts]
-    root, near = list(range(len(rows))), []
-    for i in range(len(rows)):
-        for j in range(i):
-            similar = plain_similarity(texts[i], texts[j]) >= 0.8
-            assert (simhash.similarity(texts[i].encode(), texts[j].encode()) >= 0.8) == similar
-            if similar:
-                near.append((i, j))
-            if similar or bin(prints[i] ^ prints[j]).count("1") <= 2:
-                a, b = root[i], root[j]
-                root = [min(a, b) if r in (a, b) else r for r in root]
-    groups = {}
-    for i, (doc_id, _) in enumerate(rows):
-        groups.setdefault(got[doc_id], set()).add(root[i])
-        assert got[doc_id] <= doc_id
-    assert all(len(roots) == 1 for roots in groups.values())
-    caught = sum(got[rows[i][0]] == got[rows[j][0]] for i, j in near)
-    assert len(near) > 60 and caught >= 0.95 * len(near)
+            copy = copy[: len(copy) - rng.choice([0, 0, len(copy) // 8, len(copy) // 4])]
+            texts.append(" ".join(passage + copy if g % 2 else copy))
+    rng.shuffle(texts)
+    for a in range(0, len(texts), 9):
+        assert all((similar.similarity(texts[a].encode(), t.encode()) >= 0.8) == (plain_similarity(texts[a], t) >= 0.8) for t in texts)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, rows), bucket=bucket).collect()}
+    assert got == dict(enumerate(root_of_pairs(texts))) and len(set(got.values())) < len(texts)
+
+
+def test_similar_groups_of_awkward_texts(spark):
+    """Null, empty and blank texts are one group; repeated rows stay; null ids are left out."""
+    got = collected(simhash.similar_groups(documents(spark, AWKWARD)), "doc_id", "component_id")
+    want = [(i, 1 if i in (2, 3) else i) for i, _ in AWKWARD if i is not None]
+    assert got == sorted(want, key=repr)
+
+
+def test_listed_shingles_meet_for_every_similar_pair():
+    """Sets of every size, shared shingles wherever: at 0.8 or more a listed one is common and allows both sizes."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    ranks = (7, np.unique(similar._codes(rng.integers(0, 300, 40).astype(np.uint64), 7).astype(np.int64)), rng.integers(25, 99, 40))
+    ranks = (7, ranks[1], ranks[2][: len(ranks[1])])
+    met = 0
+    for _ in range(3000):
+        pool = rng.permutation(300)[: rng.integers(1, 120)]
+        a = np.sort(pool[rng.random(len(pool)) < 0.93]).astype(np.uint64)
+        b = np.sort(pool[rng.random(len(pool)) < 0.93]).astype(np.uint64)
+        both = len(np.intersect1d(a, b))
+        if not len(a) or not len(b) or 5 * both < 4 * (len(a) + len(b) - both):
+            continue
+        met += 1
+        of = [{int(h): abs(int(m)) for h, m in zip(*similar.listed(x, *ranks), strict=True)} for x in (a, b)]
+        assert any(len(b) <= of[0][h] and len(a) <= of[1][h] for h in of[0].keys() & of[1].keys())
+    assert met > 500
+
+
+def test_counts_of_shingles_against_plain_counts(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(similar, "GATHERED", 300)
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    frame = documents(spark, list(enumerate(texts))).select(F.col("text").cast("binary").alias("text"))
+    got = {r.code: r.n for r in similar.shingle_counts(frame, 5, 3).collect()}
+    counts = {}
+    for t in texts:
+        for c in similar._codes(similar.hashes(t.encode()), 5).astype(np.int64).tolist():
+            counts[c] = counts.get(c, 0) + 1
+    assert got == {c: n for c, n in counts.items() if n > 3} and got
 
 
 def test_equal_word_sets_of_different_order_are_not_copies(spark):
     rng = random.Random(5)
     base = [f"v{i}" for i in range(120)]
-    rows = [(i, " ".join(rng.sample(base, 120))) for i in range(40)]  # one class in all word-set views
+    rows = [(i, " ".join(rng.sample(base, 120))) for i in range(40)]
     assert simhash.keep_one_of_each_group(documents(spark, rows)).count() == 40
 
 
@@ -162,14 +207,14 @@ def test_a_representative_does_not_stand_for_its_class(spark, bucket):
     b = rng.sample(words, 120)
     c = [*b[:60], b[61], b[60], *b[62:]]
     rows = [(1, " ".join(words)), (2, " ".join(b)), (3, " ".join(c))]
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(documents(spark, rows), views=simhash.BROAD, bucket=bucket).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, rows), bucket=bucket).collect()}
     assert got == {1: 1, 2: 2, 3: 2}
 
 
-@pytest.mark.parametrize("a_round", [simhash.PAIRS_A_ROUND, 500])
+@pytest.mark.parametrize("a_round", [similar.PAIRS_A_ROUND, 500])
 def test_large_classes_are_compared_whole(spark, monkeypatch, a_round):
     """Many pairs of copies in classes whose members share half their text, and one of a third: none but true pairs link."""
-    monkeypatch.setattr(simhash, "PAIRS_A_ROUND", a_round)
+    monkeypatch.setattr(similar, "PAIRS_A_ROUND", a_round)
     rng = random.Random(16)
     common = [f"c{i}" for i in range(300)]
     texts = []
@@ -179,13 +224,8 @@ def test_large_classes_are_compared_whole(spark, monkeypatch, a_round):
         texts += [" ".join(common + own), " ".join(common + changed)]
     rng.shuffle(texts)
     rows = list(enumerate(texts))
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(documents(spark, rows), views=simhash.BROAD, bucket=2).collect()}
-    root = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if plain_similarity(texts[i], texts[j]) >= 0.8:
-                a, b = root[i], root[j]
-                root = [min(a, b) if r in (a, b) else r for r in root]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, rows), bucket=2).collect()}
+    root = root_of_pairs(texts)
     assert got == dict(enumerate(root)) and len(set(root)) == 12
 
 
@@ -194,28 +234,11 @@ def test_empty_table(spark):
     assert simhash.keep_one_of_each_group(documents(spark, [])).count() == 0
 
 
-def test_bands_reach_pairs_at_the_limit_whatever_the_length():
-    """Similarities of 0.80 to 0.85 in texts of 120 to 2,000 words: no pair is without a common key."""
-    rng, bands = random.Random(17), simhash.Bands()
-    for length in (120, 500, 2000):
-        seen = 0
-        for _ in range(400):
-            base = [f"w{rng.randrange(10**6)}" for _ in range(length)]
-            copy = list(base)
-            for _ in range(max(1, length // rng.choice([45, 50, 55]))):
-                copy[rng.randrange(length)] = f"n{rng.randrange(10**6)}"
-            a, b = " ".join(base).encode(), " ".join(copy).encode()
-            if 0.8 <= simhash.similarity(a, b) < 0.85:
-                seen += 1
-                assert set(simhash.set_keys(a, bands)[3:]) & set(simhash.set_keys(b, bands)[3:])
-        assert seen > 60
-
-
 def test_equal_fingerprints_link_only_what_is_similar(spark):
     """A phrase that makes up most of the shingles decides the fingerprint; different remainders stay apart with bands."""
     rng = random.Random(18)
     rows = [(i, " ".join(["over"] * 260 + [f"x{rng.randrange(10**6)}" for _ in range(200)])) for i in range(5)]
     docs = documents(spark, rows)
     assert len({plain_fingerprint(t) for _, t in rows}) == 1
-    assert simhash.keep_one_of_each_group(docs, views=(simhash.View(),)).count() == 1
+    assert simhash.keep_one_of_each_group(docs, similar=False).count() == 1
     assert simhash.keep_one_of_each_group(docs).count() == 5
