@@ -247,17 +247,17 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
-def _with_text(pairs: DataFrame, texts: DataFrame, end: str, name: str) -> DataFrame:
-    """``pairs`` with the text of one end; a text in many pairs is sent in several rows, so that no task has them all."""
-    many = cut(pairs.groupBy(end).count().filter(F.col("count") > PAIRS_OF_A_ROW).select(end, F.ceil(F.col("count") / PAIRS_OF_A_ROW).cast("int").alias("copies")))
-    many = _small(many, many.count())
+def _with_text(pairs: DataFrame, rows: int, texts: DataFrame, end: str, name: str) -> DataFrame:
+    """``pairs`` (so many rows) with the text of one end; a text in many pairs is sent in several rows, so that no task has them all."""
+    many = pairs.groupBy(end).count().filter(F.col("count") > PAIRS_OF_A_ROW).select(end, F.ceil(F.col("count") / PAIRS_OF_A_ROW).cast("int").alias("copies"))
+    many = _small(many, rows // PAIRS_OF_A_ROW)  # no more texts than that are in so many pairs
     copies = F.coalesce("copies", F.lit(1))
     dealt = pairs.join(many, end, "left").withColumn("part", F.pmod(F.hash("u", "v"), copies)).drop("copies")
     sent = texts.withColumnRenamed("id", end).join(many, end, "left").select(end, F.col("text").alias(name), F.explode(F.sequence(F.lit(0), copies - 1)).alias("part"))
     return dealt.join(sent, [end, "part"]).drop("part")
 
 
-def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _checked(pairs: DataFrame, rows: int, texts: DataFrame) -> DataFrame:
     """The pairs u, v whose whole texts (id, text) are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +265,7 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             holds = [similarity(x.as_py(), y.as_py()) >= SIMILARITY for x, y in zip(b.column("a"), b.column("b"), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(holds, pa.bool_()))
 
-    both = _with_text(_with_text(pairs, texts, "u", "a"), texts, "v", "b")
+    both = _with_text(_with_text(pairs, rows, texts, "u", "a"), rows, texts, "v", "b")
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
@@ -281,9 +281,11 @@ def _settled(comps: DataFrame, unsure: DataFrame, texts: DataFrame) -> DataFrame
         apart = left.join(end("u"), "u", "left").join(end("v"), "v", "left").filter(F.coalesce("in_u", "u") != F.coalesce("in_v", "v"))
         turn = F.row_number().over(Window.partitionBy("u").orderBy("v"))
         ranked = cut(apart.select("u", "v", turn.alias("turn")))
-        if ranked.isEmpty():
+        now = ranked.filter(F.col("turn") <= checks).select("u", "v")
+        rows = now.count()
+        if not rows:
             return comps
-        held = cut(_checked(ranked.filter(F.col("turn") <= checks).select("u", "v"), texts))
+        held = cut(_checked(now, rows, texts))
         if not held.isEmpty():
             comps = star_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(held))
         left, checks = ranked.filter(F.col("turn") > checks).select("u", "v"), checks * MORE_CHECKS
@@ -333,7 +335,7 @@ def similar_components(docs: DataFrame, first_pairs: Callable[[DataFrame], DataF
     their shingles, and the least is compared. ``first_pairs`` makes further candidates u, v from id, k1, k2
     (the digest of the set), checked like all others.
     """
-    usable = docs.filter("id is not null")
+    spark, usable = docs.sparkSession, docs.filter("id is not null")
     ranks = ranking(usable, bucket, max_ranked)
     lists = cut(_lists(usable, ranks))
     rows = lists.count()
@@ -341,7 +343,8 @@ def similar_components(docs: DataFrame, first_pairs: Callable[[DataFrame], DataF
     named = cut(few(few(lists).groupBy("k1", "k2").agg(F.min("id").alias("first_id"))))
     sure = few(few(lists.select("id", "k1", "k2")).join(named, ["k1", "k2"]).filter("id <> first_id")).select(F.col("id").alias("u"), F.col("first_id").alias("v"))
     own = lists.join(named.withColumnRenamed("first_id", "id"), ["id", "k1", "k2"], "left_semi")
-    if not few(lists.select("id")).groupBy("id").count().filter("count > 1").isEmpty():
+    repeated = not few(lists.select("id")).groupBy("id").count().filter("count > 1").isEmpty()
+    if repeated:
         own = own.dropDuplicates(["id", "k1", "k2"])
     rows_of = own.select("id", "n", F.inline(F.arrays_zip("keys", "most")).alias("key", "most")).select("key", "id", "n", "most")
     # ranked shingles are only passed through, so their rows are dealt over all tasks
@@ -355,13 +358,21 @@ def similar_components(docs: DataFrame, first_pairs: Callable[[DataFrame], DataF
     fits = (F.col("n") <= F.col("first")["most"]) & (F.col("first")["n"] <= F.col("most")) & (F.col("id") != F.col("first")["id"])
     unsure = met.filter("u is not null").select("u", "v").unionByName(large.filter(fits).select(*_ends(F.col("id"), F.col("first")["id"])))
     if first_pairs is not None:
-        unsure = unsure.unionByName(first_pairs(lists.select("id", "k1", "k2")).filter("u <> v").select(*_ends(F.col("u"), F.col("v"))))
-    unsure = cut(unsure.distinct())
-    comps = star_components(sure)
+        named_ids = lists.select("id", "k1", "k2").join(named, ["k1", "k2"]).select("id", "first_id")
+        at = lambda x: few(named_ids).select(F.col("id").alias(x), F.col("first_id").alias(f"{x}_first"))
+        more = first_pairs(lists.select("id", "k1", "k2")).join(at("u"), "u").join(at("v"), "v").filter("u_first <> v_first")
+        unsure = unsure.unionByName(more.select(*_ends(F.col("u_first"), F.col("v_first"))))
+    unsure = cut(few(unsure).distinct())
     large = large.drop("first")
-    ids = cut(unsure.select(F.explode(F.array("u", "v")).alias("id")).unionByName(large.select("id")).distinct())
+    ids = cut(few(unsure.select(F.explode(F.array("u", "v")).alias("id")).unionByName(large.select("id"))).distinct())
     n = ids.count()
-    if not n:
-        return comps
-    texts = cut(usable.join(_small(ids, n), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-    return _grown(_settled(comps, unsure, texts), large, texts)
+    none = spark.createDataFrame([], "node long, component long")
+    if n:
+        texts = cut(usable.join(_small(ids, n), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+        comps = _grown(_settled(none, unsure, texts), large, texts)
+    else:
+        comps = none
+    if repeated:  # an id may stand for several sets
+        return star_components(sure.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    firsts = comps.withColumnRenamed("node", "v")
+    return few(sure).join(firsts, "v", "left").select(F.col("u").alias("node"), F.coalesce("component", "v").alias("component")).unionByName(comps)
