@@ -2,8 +2,8 @@
 
 Each partition tokenises its documents, cuts the longer ones, and packs the pieces best-fit, longest
 first. Bins that are nearly full are final; underfull bins become items of the next round, where fewer
-and larger groups of them are packed best-fit again, until one group holds them all or a round no
-longer saves anything. A group never has more than a fixed number of items.
+and larger groups of them are packed best-fit again, until one group has held them all or groups of the
+largest size, dealt anew, no longer save a bin. A group never has more than a fixed number of items.
 """
 
 from __future__ import annotations
@@ -77,7 +77,8 @@ class Tokens:
 
     Two generations are remembered: when the young one is full it becomes the old one, and what is still
     used moves over. A chunk of another case, or with one closing mark after a letter, is made from what is
-    known of its lower-case letters: the vocabularies ignore case and keep marks apart.
+    known of its lower-case letters: the vocabularies ignore case and keep marks apart. A chunk that may hold one
+    of the vocabulary's added tokens goes to the library as it is.
     """
 
     def __init__(self, vocabulary: str):
@@ -85,9 +86,10 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise RuntimeError("packed ids need 4-byte little-endian integers")
+        # tokens that the library finds in the text as it stands, whatever they touch
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.marks = dict(zip(MARKS, self._ids([m.decode() for m in MARKS]), strict=True))
@@ -120,7 +122,9 @@ class Tokens:
                 here[c] = old[c]
                 continue
             low = c.lower()
-            if low[-1:] in marks and low[-2:-1].isalpha():
+            if any(t.lower() in low for t in self.added):
+                low = c  # of this case only, and with its mark
+            elif low[-1:] in marks and low[-2:-1].isalpha():
                 low = low[:-1]
             if low in plain:
                 plain[low].append(c)
@@ -219,7 +223,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     moves, level = None, 1
     last, groups = open_bins.count(), max(1, pieces.rdd.getNumPartitions())
     while last > 1:
-        groups = max(1, min(groups // FAN_IN, last), -(-last // group_items))
+        fewest = -(-last // group_items)
+        groups = max(min(groups // FAN_IN, last), fewest)
         step = cut(_merge(open_bins, groups, capacity, level))
         # moves: first-round bin -> the bin that holds it now, and how far its content moved
         if moves is None:
@@ -229,7 +234,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
             moves = cut(moves.join(later, "sequence", "left").select("bin", F.coalesce("parent", "sequence").alias("sequence"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")))
         open_bins = step.filter(F.col("parent_fill") < capacity - slack).groupBy(F.col("parent").alias("bin")).agg(F.max("parent_fill").alias("fill"))
         left = open_bins.count()
-        if groups == 1 or left > 0.98 * last:
+        if groups == 1 or groups == fewest and step.select("parent").distinct().count() == last:
             break
         last, level = left, level + 1
     if moves is None:

@@ -103,9 +103,7 @@ def test_best_fit_takes_the_tightest_bin():
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("word_bpe_49k.json"))
 
 
 def check_packing(rows, out, tokenizer, capacity):
@@ -130,7 +128,7 @@ def check_packing(rows, out, tokenizer, capacity):
 @pytest.mark.parametrize("partitions", [1, 13])
 def test_packing_is_valid_whole_and_tight(spark, tokenizer, partitions):
     rng = random.Random(2)
-    rows = AWKWARD + [(100 + i, " ".join(rng.choice(["word", "Other,", "thing.", "é!", "x1"]) for _ in range(rng.randint(0, 90)))) for i in range(500)]
+    rows = AWKWARD + [(100 + i, " ".join(rng.choice(["word", "Other,", "thing.", "é!", "x1", "<|endoftext|>", "a<|startoftext|>."]) for _ in range(rng.randint(0, 90)))) for i in range(500)]
     docs = documents(spark, rows).repartition(partitions)
     sequences, tokens = check_packing(rows, packing.pack_documents(docs, P.path("word_bpe_49k.json"), capacity=128, slack=1).collect(), tokenizer, 128)
     assert sequences <= 1.03 * -(-tokens // 128) + 1
@@ -143,11 +141,22 @@ def test_packing_where_nothing_fits_together(spark, tokenizer):
     assert check_packing(rows, out, tokenizer, 128)[0] == 60
 
 
+def test_merging_goes_on_while_bins_are_saved(spark, tokenizer):
+    """Groups of a bounded size are dealt anew until none saves a bin: half-full bins pair up across all groups."""
+    rows = [(i, "word " * 31) for i in range(90)]
+    docs = documents(spark, rows).repartition(45)
+    out = packing.pack_documents(docs, P.path("word_bpe_49k.json"), capacity=128, group_items=6, slack=1).collect()
+    assert check_packing(rows, out, tokenizer, 128)[0] <= 25  # 23 is the least
+
+
 def test_chunked_tokens_equal_the_library(tokenizer, monkeypatch):
     rng = random.Random(4)
     letters = "abAB c'st.,!?\n\t \x1c\x85  éÉ漢🙂١²́Σσ'll 12;:\x0b\r ​İ"
     monkeypatch.setattr(packing, "REMEMBERED", 500)
     with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
         own = packing.Tokens(f.read())
-    for t in ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|> x<|startoftext|>.", "I'LL 's. it's! a.. " + "y" * 200, "", "ünïcödé Straße ŉ ªº ÷ ×é déjà. Ǆ ǆ œuvre, mañana! été?"]:
+    added = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "a", ".", " ", "Ab,"]
+    special = ["".join(rng.choice(added) for _ in range(rng.randint(1, 8))) for _ in range(500)]
+    assert tokenizer.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [3306, 49407, 1002]
+    for t in ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + special + ["<|endoftext|> x<|startoftext|>.", "I'LL 's. it's! a.. " + "y" * 200, "", "ünïcödé Straße ŉ ªº ÷ ×é déjà. Ǆ ǆ œuvre, mañana! été?"]:
         assert np.frombuffer(own.encode(t.encode()), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
