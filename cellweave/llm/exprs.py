@@ -40,6 +40,24 @@ def last_not_above(keys: Sequence[Column], bounds: Sequence[Column], n: int) ->
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), reach)
 
 
+def running(values: Column, zero: Column, merge: Callable[[Column, Column], Column], block: int = 128) -> Column:
+    """For each value what ``merge`` makes of it and all before it. Blocks keep the cost near linear: a growing
+    array in an aggregate would be copied at every step."""
+    n = F.size(values)
+    blocks = F.sequence(F.lit(0), F.greatest(F.ceil(n / block).cast("int") - 1, F.lit(0)))
+
+    def spread(totals: Column) -> Column:
+        def inside(b: Column) -> Column:
+            before = F.aggregate(F.slice(totals, F.lit(1), b), zero, merge)
+            part = F.slice(values, b * block + 1, F.lit(block))
+            return let(F.struct(before.alias("before"), part.alias("part")), lambda x: F.transform(F.sequence(F.lit(1), F.size(x["part"])), lambda i: F.aggregate(F.slice(x["part"], F.lit(1), i), x["before"], merge)))
+
+        return F.flatten(F.transform(blocks, inside))
+
+    totals = F.transform(blocks, lambda b: F.aggregate(F.slice(values, b * block + 1, F.lit(block)), zero, merge))
+    return F.when(n > 0, let(totals, spread)).otherwise(F.slice(values, 1, 0))
+
+
 def per_text(docs: DataFrame, id_col: str, text_col: str, kind: str, of: Callable[[list[bytes | None]], list]) -> DataFrame:
     """doc_id and ``value`` (of Spark type ``kind``): ``of`` a batch's whole texts, as UTF-8, one value each."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))

@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.exprs import let, number_array, unused
+from cellweave.llm.exprs import let, number_array, running, unused
 
 #: Fixed patterns of the base rules; the failing matches of ``assign`` use up text, the others' can't.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -25,6 +25,8 @@ HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "markov")
 MASK = "[SECRET]"
+#: Code points of a block of text that masking cuts from.
+BLOCK = 4096
 _LOW, _SIDE = ord("+"), ord("z") - ord("+") + 1
 
 _WORDS = (
@@ -106,22 +108,33 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
 
     The text between matches and the matches alternate, so running lengths give the places.
     """
-    parts = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("word"))
-    kind = "array<struct<start:int,end:int,word:string>>"
-    none = F.array().cast(kind)
+    parts = [F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole")]
+    if group:
+        parts.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("word"))
+    none = F.array().cast("array<struct<start:int,end:int,word:string>>")
 
     def placed(p: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+        steps = F.transform(p["whole"], lambda w, i: F.char_length(w) + F.char_length(F.get(p["between"], i)))
 
-        def step(acc: Column, i: Column) -> Column:
-            begin = acc["at"] + F.char_length(F.get(p["between"], i))
-            end = begin + F.char_length(F.get(p["whole"], i))
-            item = F.array(F.struct(begin.alias("start"), end.alias("end"), F.get(p["word"], i).alias("word"))).cast(kind)
-            return F.struct(end.alias("at"), F.concat(acc["found"], item).alias("found"))
+        def item(end: Column, i: Column) -> Column:
+            return F.struct((end - F.char_length(F.get(p["whole"], i))).alias("start"), end.alias("end"), F.get(p["word" if group else "whole"], i).alias("word"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(p["whole"]) - 1), start, step, lambda acc: acc["found"])
+        return F.transform(let(steps, lambda s: running(s, F.lit(0), lambda a, b: a + b)), item)
 
-    return F.when(text.rlike(pattern), let(parts, placed)).otherwise(none)
+    return F.when(text.rlike(pattern), let(F.struct(*parts), placed)).otherwise(none)
+
+
+def _touches(token: Column, found: Column) -> Column:
+    """Whether a span overlaps any of ``found``, which are sorted and apart: a binary search."""
+    n = F.size(found)
+
+    def reach(at: Column, step: Column) -> Column:
+        return F.when((at + step <= n) & (F.get(found, at + step - 1)["start"] <= token["start"]), at + step).otherwise(at)
+
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(30))])
+    last = F.aggregate(F.filter(steps, lambda s: s <= n), F.lit(0), reach)
+    hit = lambda at: F.coalesce((F.get(found, at - 1)["end"] > token["start"]) & (at > 0), F.lit(False)) | F.coalesce(F.get(found, at)["start"] < token["end"], F.lit(False))
+    return let(last, hit)
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -131,7 +144,7 @@ def _spans(found: Column, kind: int) -> Column:
 def scan_columns(text: Column, table: list[float], threshold: float) -> Column:
     """struct<base, added>: arrays of struct<start, kind, end>, each sorted by start, then kind."""
     assign = F.filter(_matches(text, ASSIGN, 2), lambda m: F.char_length(m["word"]) >= 6)
-    base = F.array_sort(F.concat(_spans(assign, 0), _spans(_matches(text, ACCESS), 1), _spans(_matches(text, HEX), 2)))
+    kinds = F.struct(*[_spans(m, k).alias(KINDS[k]) for k, m in enumerate((assign, _matches(text, ACCESS), _matches(text, HEX)))])
     ratios = number_array(table, "double")
 
     def random_like(m: Column) -> Column:
@@ -145,11 +158,12 @@ def scan_columns(text: Column, table: list[float], threshold: float) -> Column:
 
     tokens = F.filter(_matches(text, TOKEN), random_like)
 
-    def apart(b: Column) -> Column:
-        clear = F.filter(_spans(tokens, 3), lambda t: ~F.exists(b, lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])))
-        return F.struct(b.alias("base"), clear.alias("added"))
+    def apart(found: Column) -> Column:
+        lists = [found[k] for k in KINDS[:3]]
+        touched = lambda t: _touches(t, lists[0]) | _touches(t, lists[1]) | _touches(t, lists[2])
+        return F.struct(F.array_sort(F.concat(*lists)).alias("base"), F.filter(_spans(tokens, 3), lambda t: ~touched(t)).alias("added"))
 
-    return let(base, apart)
+    return let(kinds, apart)
 
 
 def _listed(spans: Column) -> Column:
@@ -187,13 +201,25 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> D
     text = F.col(text_col)
     found = docs.withColumn(name, scan_columns(F.coalesce(text, F.lit("")), table, threshold))
 
-    def masked(spans: Column) -> Column:
-        def step(acc: Column, s: Column) -> Column:
-            fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)).alias("out"))
-            return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+    # between spans the text is taken from blocks, as a place in a long text is found by counting from its beginning
+    def masked(p: Column) -> Column:
+        def piece(begin: Column, end: Column) -> Column:
+            first, last = F.floor(begin / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+            of = lambda b: F.coalesce(F.get(p["blocks"], b), F.lit(""))
+            head, tail = F.substring(of(first), begin - first * BLOCK + 1, F.lit(BLOCK)), F.substring(of(last), F.lit(1), end - last * BLOCK)
+            middle = F.array_join(F.slice(p["blocks"], first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+            return F.when(first == last, F.substring(of(first), begin - first * BLOCK + 1, end - begin)).otherwise(F.concat(head, middle, tail))
+
+        def step(s: Column, i: Column) -> Column:
+            at = F.when(i > 0, F.get(p["reached"], i - 1)).otherwise(F.lit(0))
+            return F.when(s["start"] >= at, F.concat(piece(at, s["start"]), F.lit(mask))).otherwise(F.lit(""))
+
+        return F.concat(F.array_join(F.transform(p["spans"], step), ""), piece(F.element_at(p["reached"], -1), F.char_length(text)))
 
-        return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    def parts(spans: Column) -> Column:
+        reached = let(F.transform(spans, lambda s: s["end"]), lambda e: running(e, F.lit(0), lambda a, b: F.greatest(a, b)))
+        return let(F.struct(spans.alias("spans"), reached.alias("reached"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks")), masked)
 
     every = F.array_sort(F.concat(F.col(name)["base"], F.col(name)["added"]))
-    changed = F.when(F.size(every) > 0, let(every, masked)).otherwise(text)
+    changed = F.when(F.size(every) > 0, let(every, parts)).otherwise(text)
     return found.select(*[changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -52,6 +52,50 @@ def test_scan_against_plain_python(spark):
         assert g["spans"] == listed(sorted(base + added))
 
 
+def many_matches(n, seed=8):
+    """A text of n strings, most of them matches of some kind, with characters of several bytes between them."""
+    rng = random.Random(seed)
+    hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(28))
+    mixed = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30))
+    make = [hexes, hexes, mixed, lambda: "token=" + mixed(), lambda: "AKIA" + "Q7" * 9, lambda: "é🙂", lambda: "plain " * 40]
+    return " ".join(rng.choice(make)() for _ in range(n))
+
+
+def test_texts_of_many_matches(spark):
+    """Several blocks of running sums and of text; the same spans and masks as plain Python's."""
+    rows = [(1, many_matches(1200)), (2, many_matches(129, 9)), (3, many_matches(1))]
+    assert len(rows[0][1]) > 8 * secrets.BLOCK
+    docs = documents(spark, rows)
+    got = {r.doc_id: r.spans for r in secrets.scan_documents(docs).collect()}
+    spans = {i: sorted(sum(plain_spans(t), [])) for i, t in rows}
+    assert got == {i: listed(s) for i, s in spans.items()} and len(spans[1]) > 600
+    for r in secrets.mask_secrets(docs).collect():
+        done, at, text = "", 0, dict(rows)[r.doc_id]
+        for s, _, e in spans[r.doc_id]:
+            if s >= at:
+                done, at = done + text[at:s] + secrets.MASK, e
+            else:
+                at = max(at, e)
+        assert r.text == done + text[at:]
+
+
+def test_cost_follows_the_number_of_matches_not_their_square(spark):
+    """16,000 matches cost about the same in one text as over 80 texts."""
+    import time
+
+    hexes = lambda n, s: " ".join(f"{random.Random(s + i).getrandbits(128):032x}" for i in range(n))
+    one = documents(spark, [(1, hexes(16_000, 0))])
+    spread = documents(spark, [(i, hexes(200, 200 * i)) for i in range(80)]).coalesce(1)
+    for run, column in ((secrets.scan_documents, "spans"), (secrets.mask_secrets, "text")):
+        took = []
+        for docs in (spread, one, spread, one):
+            began = time.perf_counter()
+            n = sum(r[0] for r in run(docs).selectExpr(f"length({column})").collect())
+            took.append(time.perf_counter() - began)
+            assert n > 100_000
+        assert took[3] < 2 * took[2] + 1
+
+
 def test_models_tell_unseen_random_strings_from_identifiers():
     unseen = secrets.labelled_samples(1500, seed=77)
     usable = [(s, y) for s, y in unseen if re.fullmatch(secrets.TOKEN, s)]
