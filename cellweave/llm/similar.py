@@ -27,8 +27,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BUCKET = 24
 #: Shingles that are ranked by how often they occur, the most frequent ones; others count as rare.
 MAX_RANKED = 500_000
-#: Shingles that one counting task holds (about 20 bytes each), and those a worker gathers before it sends them.
-COUNTED, GATHERED = 4_000_000, 2_000_000
+#: Shingles that one counting task holds (about 50 bytes each), and those a worker gathers before it sends them.
+COUNTED, GATHERED = 1_000_000, 500_000
+#: Texts whose lists a worker makes at a time.
+TEXTS = 1000
 #: Candidates of a text that the first round checks, and how many times more each later round does.
 FIRST_CHECKS, MORE_CHECKS = 4, 8
 #: About as many pairs of the members of large lists are looked at in a round, and as many members in a block.
@@ -181,7 +183,7 @@ def _lists(texts: DataFrame, ranks: tuple[int, np.ndarray, np.ndarray]) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in batches:
+        for b in (x.slice(at, TEXTS) for x in batches for at in range(0, x.num_rows, TEXTS)):
             sets = [hashes(t.as_py()) for t in b.column("text")]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.tobytes()) for h in sets), ">i8").astype(np.int64).reshape(-1, 2)
             lists = [listed(h, *shared.value) for h in sets]
