@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Texts that a worker holds at a time.
+TEXTS = 1000
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -64,7 +68,7 @@ def per_text(docs: DataFrame, id_col: str, text_col: str, kind: str, of: Callabl
     arrow = {"double": pa.float64(), "bigint": pa.int64(), "array<double>": pa.list_(pa.float64()), "array<bigint>": pa.list_(pa.int64())}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(at, TEXTS) for x in batches for at in range(0, x.num_rows, TEXTS)):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(of(b.column("text").to_pylist()), arrow)], ["doc_id", "value"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, value {kind}")

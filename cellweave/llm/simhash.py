@@ -158,6 +158,25 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return shown.join(members, "fp", "left").select("doc_id", "fingerprint", "component_id")
 
 
+def _similar(docs: DataFrame, id_col: str, text_col: str, bucket: int) -> DataFrame:
+    """node, component of the documents that are 0.8 similar; those without links may be missing."""
+
+    def pairs(marked: DataFrame) -> DataFrame:
+        """Between first documents of linked fingerprints, and between those of one fingerprint and different texts."""
+        one = marked.groupBy("mark").agg(F.min("first_id").alias("at"), F.count(F.lit(1)).alias("n"))
+        classes = cut(one)
+        rows = classes.count()
+        few = lambda df: fewer_tasks(df, rows, ROWS_PER_TASK)
+        links = fingerprint_links(classes.select(F.col("mark").alias("fp")), rows, bucket)
+        of = lambda x, y: few(classes).select(F.col("mark").alias(x), F.col("at").alias(y))
+        between = few(few(links).join(of("u", "a"), "u")).join(of("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        within = marked.join(few(classes).filter("n > 1"), "mark").filter("first_id <> at").select(F.col("first_id").alias("u"), F.col("at").alias("v"))
+        return between.unionByName(within.distinct())
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return similar_components(texts, lambda t: _signed(fingerprint(t)), pairs, bucket)
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """doc_id, component_id of every row with an id: groups of texts that are 0.8 similar.
 
@@ -166,35 +185,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smallest id. Null and blank texts are similar to each other. Repeated rows stay; of different texts with one
     id the least is compared. Rows with a null id are left out. An empty table gives an empty result.
     """
-    prints, rows = _prints(docs, id_col, text_col)
-    few = lambda df: fewer_tasks(df, rows, ROWS_PER_TASK)
-    classes = _classes(prints.filter("doc_id is not null"), rows)
-    links = fingerprint_links(classes.select("fp"), rows, bucket)
-
-    def pairs(sets: DataFrame) -> DataFrame:
-        """Between the first documents of linked fingerprints, and of each fingerprint's different texts."""
-        at = lambda x, y: classes.select(F.col("fp").alias(x), F.col("first_id").alias(y))
-        between = few(few(links.join(at("u", "a"), "u")).join(at("v", "b"), "v")).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        firsts = few(few(sets).groupBy("k1", "k2").agg(F.min("id").alias("doc_id")))
-        within = few(few(prints.join(firsts, "doc_id")).join(classes, "fp")).select(F.col("doc_id").alias("u"), F.col("first_id").alias("v"))
-        return between.unionByName(within)
-
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    comps = similar_components(texts, pairs, bucket)
-    named = few(prints.filter("doc_id is not null").select("doc_id")).join(few(comps).withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return named.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    comps = cut(_similar(docs, id_col, text_col, bucket))
+    ids = docs.select(F.col(id_col).alias("doc_id")).filter("doc_id is not null")
+    return ids.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: bool = True, bucket: int = BUCKET) -> DataFrame:
-    """The documents that name their group (smallest id) of ``similar_groups``, or of fingerprints; of rows
-    that repeat an id, one.
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """The documents that name their group (smallest id) of ``similar_groups``; of rows that repeat an id, one.
 
     A row with a null id cannot name a group and is kept as it is.
     """
-    kept_id = unused(docs, "__kept")
-    groups = cut((similar_groups if similar else near_duplicate_groups)(docs, id_col, text_col, bucket=bucket).select("doc_id", "component_id"))
-    named = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
-    kept = docs.filter(F.col(id_col).isNotNull()).join(named, F.col(id_col) == F.col(kept_id), "left_semi")
-    if not groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    gone_id = unused(docs, "__gone")
+    gone = cut(_similar(docs, id_col, text_col, bucket).filter("node <> component").select(F.col("node").alias(gone_id)).distinct())
+    kept = docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
+    if docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))

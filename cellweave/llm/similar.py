@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.llm.exprs import TEXTS
 from cellweave.operators.components import star_components
 from cellweave.plans.lineage import cut, fewer_tasks
 
@@ -29,10 +30,8 @@ BUCKET = 24
 MAX_RANKED = 500_000
 #: Shingles that one counting task holds (about 50 bytes each), and those a worker gathers before it sends them.
 COUNTED, GATHERED = 1_000_000, 500_000
-#: Texts whose lists a worker makes at a time.
-TEXTS = 1000
 #: Candidates of a text that the first round checks, and how many times more each later round does.
-FIRST_CHECKS, MORE_CHECKS = 4, 8
+FIRST_CHECKS, MORE_CHECKS = 16, 8
 #: About as many pairs of the members of large lists are looked at in a round, and as many members in a block.
 PAIRS_A_ROUND, BLOCK = 50_000_000, 2048
 #: Pairs that take one text from the same row of it: a text in more pairs is sent in several rows.
@@ -176,8 +175,8 @@ def listed(h: np.ndarray, buckets: int, code: np.ndarray, n: np.ndarray) -> tupl
     return h[first], np.where(count[first] > 0, -most, most)
 
 
-def _lists(texts: DataFrame, ranks: tuple[int, np.ndarray, np.ndarray]) -> DataFrame:
-    """id, k1, k2, n and the arrays keys, most of every text (id, text)."""
+def _lists(texts: DataFrame, ranks: tuple[int, np.ndarray, np.ndarray], mark: Callable[[bytes | None], int]) -> DataFrame:
+    """id, its mark, k1, k2, n and the arrays keys, most of every text (id, text)."""
     shared = texts.sparkSession.sparkContext.broadcast(ranks)  # 16 bytes for each ranked shingle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +189,10 @@ def _lists(texts: DataFrame, ranks: tuple[int, np.ndarray, np.ndarray]) -> DataF
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in lists])]), pa.int32())
             joined = [np.concatenate([np.zeros(0, t), *(x[i].astype(t) for x in lists)]) for i, t in enumerate((np.uint64, np.int32))]
             arrays = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (joined[0].view(np.int64), joined[1])]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(h) for h in sets], pa.int32()), *arrays], ["id", "k1", "k2", "n", "keys", "most"])
+            marks = pa.array([mark(t.as_py()) for t in b.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), marks, pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(h) for h in sets], pa.int32()), *arrays], ["id", "mark", "k1", "k2", "n", "keys", "most"])
 
-    return texts.mapInArrow(run, "id long, k1 long, k2 long, n int, keys array<long>, most array<int>")
+    return texts.mapInArrow(run, "id long, mark long, k1 long, k2 long, n int, keys array<long>, most array<int>")
 
 
 def _met(rows: DataFrame, bucket: int) -> DataFrame:
@@ -271,8 +271,8 @@ def _checked(pairs: DataFrame, rows: int, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _settled(comps: DataFrame, unsure: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, component over ``comps`` and those of the unsure pairs that hold.
+def _settled(comps: DataFrame | None, unsure: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """node, component over ``comps`` (None: no links yet) and those of the unsure pairs that hold.
 
     A round checks a few pairs of each text; pairs whose ends are in one component by then need no check.
     So a group of many similar texts costs a few checks for each of them, and none that matters is left out.
@@ -280,7 +280,7 @@ def _settled(comps: DataFrame, unsure: DataFrame, texts: DataFrame) -> DataFrame
     end = lambda x: comps.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}"))
     left, checks = unsure, FIRST_CHECKS
     while True:
-        apart = left.join(end("u"), "u", "left").join(end("v"), "v", "left").filter(F.coalesce("in_u", "u") != F.coalesce("in_v", "v"))
+        apart = left if comps is None else left.join(end("u"), "u", "left").join(end("v"), "v", "left").filter(F.coalesce("in_u", "u") != F.coalesce("in_v", "v"))
         turn = F.row_number().over(Window.partitionBy("u").orderBy("v"))
         ranked = cut(apart.select("u", "v", turn.alias("turn")))
         now = ranked.filter(F.col("turn") <= checks).select("u", "v")
@@ -289,7 +289,7 @@ def _settled(comps: DataFrame, unsure: DataFrame, texts: DataFrame) -> DataFrame
             return comps
         held = cut(_checked(now, rows, texts))
         if not held.isEmpty():
-            comps = star_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(held))
+            comps = star_components(held if comps is None else held.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v"))))
         left, checks = ranked.filter(F.col("turn") > checks).select("u", "v"), checks * MORE_CHECKS
 
 
@@ -297,8 +297,8 @@ def _ends(u: Column, v: Column) -> list[Column]:
     return [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
 
 
-def _grown(comps: DataFrame, large: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, component over ``comps`` and all that holds within large lists (key, id, n, most).
+def _grown(comps: DataFrame | None, large: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """node, component over ``comps`` (None: no links) and all that holds within large lists (key, id, n, most).
 
     In a large list, whatever is outside its most frequent component is compared with the members of other
     components that sizes and places allow. Where that is very many pairs to look at, a round takes a share
@@ -306,7 +306,8 @@ def _grown(comps: DataFrame, large: DataFrame, texts: DataFrame) -> DataFrame:
     """
     turn = 0
     while True:
-        members = cut(large.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "most", F.coalesce("component", "id").alias("component")))
+        named = large.withColumn("component", F.lit(None).cast("long")) if comps is None else large.join(comps.withColumnRenamed("node", "id"), "id", "left")
+        members = cut(named.select("key", "id", "n", "most", F.coalesce("component", "id").alias("component")))
         parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
         sums = parts.agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("members"), F.max("c").alias("main_members"))
         mixed = cut(sums.filter("main_members < members").select("key", "main", "members", "main_members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
@@ -329,17 +330,17 @@ def _grown(comps: DataFrame, large: DataFrame, texts: DataFrame) -> DataFrame:
         turn += 1
 
 
-def similar_components(docs: DataFrame, first_pairs: Callable[[DataFrame], DataFrame] | None = None, bucket: int = BUCKET, max_ranked: int = MAX_RANKED) -> DataFrame:
+def similar_components(docs: DataFrame, mark: Callable[[bytes | None], int], marked_pairs: Callable[[DataFrame], DataFrame], bucket: int = BUCKET, max_ranked: int = MAX_RANKED) -> DataFrame:
     """node, component (its smallest id) over the links between the texts of ``docs`` (id bigint, text binary).
 
     Rows with a null id take no part; a text without links may be missing. Texts with one set of shingles are
     one to begin with; null and blank texts have an empty set. Of different texts with one id all list
-    their shingles, and the least is compared. ``first_pairs`` makes further candidates u, v from id, k1, k2
-    (the digest of the set), checked like all others.
+    their shingles, and the least is compared. ``marked_pairs`` makes further candidates u, v from id, first_id
+    (smallest id of the same set) and a text's ``mark``; they are checked like all others.
     """
-    spark, usable = docs.sparkSession, docs.filter("id is not null")
+    usable = docs.filter("id is not null")
     ranks = ranking(usable, bucket, max_ranked)
-    lists = cut(_lists(usable, ranks))
+    lists = cut(_lists(usable, ranks, mark))
     rows = lists.count()
     few = lambda df: fewer_tasks(df, rows, ROWS_PER_TASK)
     named = cut(few(few(lists).groupBy("k1", "k2").agg(F.min("id").alias("first_id"))))
@@ -359,21 +360,17 @@ def similar_components(docs: DataFrame, first_pairs: Callable[[DataFrame], DataF
     large = cut(large.join(_small(firsts, n_large), "key").select("key", "id", "n", "most", "first"))
     fits = (F.col("n") <= F.col("first")["most"]) & (F.col("first")["n"] <= F.col("most")) & (F.col("id") != F.col("first")["id"])
     unsure = met.filter("u is not null").select("u", "v").unionByName(large.filter(fits).select(*_ends(F.col("id"), F.col("first")["id"])))
-    if first_pairs is not None:
-        named_ids = lists.select("id", "k1", "k2").join(named, ["k1", "k2"]).select("id", "first_id")
-        at = lambda x: few(named_ids).select(F.col("id").alias(x), F.col("first_id").alias(f"{x}_first"))
-        more = first_pairs(lists.select("id", "k1", "k2")).join(at("u"), "u").join(at("v"), "v").filter("u_first <> v_first")
-        unsure = unsure.unionByName(more.select(*_ends(F.col("u_first"), F.col("v_first"))))
-    unsure = cut(few(unsure).distinct())
+    marked = few(few(lists.select("id", "mark", "k1", "k2")).join(named, ["k1", "k2"])).select("id", "first_id", "mark")
+    unsure = cut(few(unsure.unionByName(marked_pairs(marked).filter("u <> v").select(*_ends(F.col("u"), F.col("v"))))).distinct())
     large = large.drop("first")
     ids = cut(few(unsure.select(F.explode(F.array("u", "v")).alias("id")).unionByName(large.select("id"))).distinct())
     n = ids.count()
-    none = spark.createDataFrame([], "node long, component long")
+    comps = None
     if n:
         texts = cut(usable.join(_small(ids, n), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-        comps = _grown(_settled(none, unsure, texts), large, texts)
-    else:
-        comps = none
+        comps = _grown(_settled(None, unsure, texts), large, texts)
+    if comps is None:
+        comps = docs.sparkSession.createDataFrame([], "node long, component long")
     if repeated:  # an id may stand for several sets
         return star_components(sure.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     firsts = comps.withColumnRenamed("node", "v")

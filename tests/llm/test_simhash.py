@@ -90,11 +90,14 @@ def test_whole_query_against_all_pairs(spark, corpus):
 
 def test_one_document_of_each_group_stays(spark, corpus):
     docs = documents(spark, corpus)
-    kept = simhash.keep_one_of_each_group(docs, similar=False)
+    kept = simhash.keep_one_of_each_group(docs)
     assert kept.columns == docs.columns
-    prints = [(i, plain_fingerprint(t)) for i, t in corpus]
-    want = {g for g in brute_groups(prints)} | {None}
-    assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(map(repr, want))
+    named = [(i, t) for i, t in corpus if i is not None]
+    root = root_of_pairs([t or "" for _, t in named])
+    first = {}
+    for (i, _), r in zip(named, root, strict=True):
+        first[r] = min(i, first.get(r, i))
+    assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(map(repr, [*first.values(), None]))
 
 
 def test_similar_texts_join_texts_with_a_changed_word(spark):
@@ -126,7 +129,7 @@ def root_of_pairs(texts):
 @pytest.mark.parametrize("bucket, max_ranked", [(1, 10**6), (24, 10**6), (2, 40)])
 def test_groups_are_those_of_all_similar_pairs(spark, monkeypatch, bucket, max_ranked):
     """Changed, added and cut words, repeats, a passage that half of the texts share: exactly the groups of all pairs."""
-    monkeypatch.setattr(similar.similar_components, "__defaults__", (None, bucket, max_ranked))
+    monkeypatch.setattr(similar.similar_components, "__defaults__", (bucket, max_ranked))
     monkeypatch.setattr(similar, "BLOCK", 8)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(900)]
@@ -240,5 +243,5 @@ def test_equal_fingerprints_link_only_what_is_similar(spark):
     rows = [(i, " ".join(["over"] * 260 + [f"x{rng.randrange(10**6)}" for _ in range(200)])) for i in range(5)]
     docs = documents(spark, rows)
     assert len({plain_fingerprint(t) for _, t in rows}) == 1
-    assert simhash.keep_one_of_each_group(docs, similar=False).count() == 1
+    assert len({r.component_id for r in simhash.near_duplicate_groups(docs).collect()}) == 1
     assert simhash.keep_one_of_each_group(docs).count() == 5
