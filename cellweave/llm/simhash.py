@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.exprs import per_text, unused
-from cellweave.llm.similar import shingles, similar_components, words
+from cellweave.llm.similar import shingles, similar_components, small, words
 from cellweave.operators.components import star_components
 from cellweave.plans.lineage import cut, fewer_tasks
 
@@ -197,7 +197,7 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     gone_id = unused(docs, "__gone")
     gone = cut(_similar(docs, id_col, text_col, bucket).filter("node <> component").select(F.col("node").alias(gone_id)).distinct())
-    kept = docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
+    kept = docs.join(small(gone, gone.count()), F.col(id_col) == F.col(gone_id), "left_anti")
     if docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty():
         return kept
     return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))

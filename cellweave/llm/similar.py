@@ -3,7 +3,8 @@
 Candidates come from an exact prefix filter (Bayardo et al., WWW 2007; Xiao et al., WWW 2008). The shingles of
 all texts are counted, each text lists its shingles rarest first, and texts so similar must share one of the
 first ones: with the place it stands at, each says up to which size another text may have it in common. Any
-order of the shingles gives all links; the rare ones first keep what many texts share out of the lists.
+order of the shingles gives all links; the rare ones first keep what many texts share out of the lists. The
+number of listed shingles that two texts share bounds what they can have in common, before they are compared.
 
 A shingle listed by many texts is not expanded into pairs. The text of smallest id is compared with the
 others, and what this leaves outside the most frequent component with the members of other components.
@@ -140,8 +141,9 @@ def shingle_counts(texts: DataFrame, buckets: int, least: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "bucket long, low binary, n binary").groupBy("bucket").applyInArrow(added, "code long, n long")
 
 
-def ranking(texts: DataFrame, bucket: int, max_ranked: int = MAX_RANKED) -> tuple[int, np.ndarray, np.ndarray]:
-    """(counting buckets, sorted codes, counts) of the shingles of most texts, ``max_ranked`` at most."""
+def ranking(texts: DataFrame, bucket: int, max_ranked: int = MAX_RANKED) -> tuple[tuple[int, np.ndarray, np.ndarray], bool]:
+    """(counting buckets, sorted codes, counts) of the shingles of most texts, ``max_ranked`` at most, and
+    whether those are all in more than ``bucket`` texts."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-size // (6 * COUNTED)))
     counted = cut(shingle_counts(texts, buckets, bucket))
@@ -155,7 +157,7 @@ def ranking(texts: DataFrame, bucket: int, max_ranked: int = MAX_RANKED) -> tupl
     table = counted.filter(scale >= level).toArrow()  # at most max_ranked rows
     code, n = table["code"].to_numpy(), table["n"].to_numpy()
     order = np.argsort(code)
-    return buckets, code[order], n[order]
+    return (buckets, code[order], n[order]), not level
 
 
 def listed(h: np.ndarray, buckets: int, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +178,7 @@ def listed(h: np.ndarray, buckets: int, code: np.ndarray, n: np.ndarray) -> tupl
 
 
 def _lists(texts: DataFrame, ranks: tuple[int, np.ndarray, np.ndarray], mark: Callable[[bytes | None], int]) -> DataFrame:
-    """id, its mark, k1, k2, n and the arrays keys, most of every text (id, text)."""
+    """id, its mark, k1, k2, n, how many listed shingles are ranked, and the arrays keys, most of every text (id, text)."""
     shared = texts.sparkSession.sparkContext.broadcast(ranks)  # 16 bytes for each ranked shingle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,23 +192,32 @@ def _lists(texts: DataFrame, ranks: tuple[int, np.ndarray, np.ndarray], mark: Ca
             joined = [np.concatenate([np.zeros(0, t), *(x[i].astype(t) for x in lists)]) for i, t in enumerate((np.uint64, np.int32))]
             arrays = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (joined[0].view(np.int64), joined[1])]
             marks = pa.array([mark(t.as_py()) for t in b.column("text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id"), marks, pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(h) for h in sets], pa.int32()), *arrays], ["id", "mark", "k1", "k2", "n", "keys", "most"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), marks, pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(h) for h in sets], pa.int32()), pa.array([int((x[1] < 0).sum()) for x in lists], pa.int32()), *arrays], ["id", "mark", "k1", "k2", "n", "ranked", "keys", "most"])
 
-    return texts.mapInArrow(run, "id long, mark long, k1 long, k2 long, n int, keys array<long>, most array<int>")
+    return texts.mapInArrow(run, "id long, mark long, k1 long, k2 long, n int, ranked int, keys array<long>, most array<int>")
 
 
 def _met(rows: DataFrame, bucket: int) -> DataFrame:
-    """Of rows key, id, n, most sorted by key: pairs (key null, u, v) of the members of small lists that may be
-    similar; the rows of large lists and of ranked shingles (most negative) with u null."""
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("most", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
-    none = lambda k, t: pa.nulls(k, t)
+    """Of rows key, id, sizes (of the set, and of its ranked listed shingles), most, sorted by key: the rows of large
+    lists and of ranked shingles (most negative) with u null, and of small lists a row for each pair u, v of members:
+    how many listed shingles of this task they ``share``, how many they ``need``, whether a place ``fits``.
+
+    A list holds the first n // 5 + 1 of n shingles. Of two texts, the one whose list ends at the rarer shingle has
+    all else that they share outside its list; so they have no more in common than the shared listed ones
+    and what is outside the longer list.
+    """
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("most", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("share", pa.int32()), ("need", pa.int32()), ("fits", pa.bool_())])
+
+    def batch(**columns: np.ndarray) -> pa.RecordBatch:
+        k = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(k, f.type) for f in schema], schema=schema)
 
     def out(cols: list[np.ndarray], last: bool) -> tuple[list[pa.RecordBatch], list[np.ndarray]]:
         key = cols[0]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         end = len(key) if last or not len(key) else starts[-1]
         rest = [c[end:] for c in cols]
-        key, ids, n, most = (c[:end] for c in cols)
+        key, ids, sizes, most = (c[:end] for c in cols)
         if not end:
             return [], rest
         starts = starts[starts < end]
@@ -214,37 +225,41 @@ def _met(rows: DataFrame, bucket: int) -> DataFrame:
         large = np.repeat(size > bucket, size) | (most < 0)
         made = []
         if large.any():
-            k = int(large.sum())
-            made.append(pa.RecordBatch.from_arrays([pa.array(key[large]), pa.array(ids[large]), pa.array(n[large]), pa.array(np.abs(most[large])), none(k, pa.int64()), none(k, pa.int64())], schema=schema))
-        key, ids, n, most = (c[~large] for c in (key, ids, n, most))
-        found = [np.zeros((0, 2), np.int64)]
+            made.append(batch(key=key[large], id=ids[large], n=sizes[large] >> 32, most=np.abs(most[large])))
+        key, ids, sizes, most = (c[~large] for c in (key, ids, sizes, most))
+        n, ranked = sizes >> 32, sizes & 0xFFFFFFFF
+        found = [np.zeros((0, 4), np.int64)]
         for step in range(1, bucket):
             same = np.flatnonzero(key[step:] == key[:-step])
             if not len(same):
                 break
             a, b = same, same + step
-            fits = (n[a] <= most[b]) & (n[b] <= most[a]) & (ids[a] != ids[b])
-            a, b = ids[a[fits]], ids[b[fits]]
-            found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        k = len(pairs)
-        if k:
-            made.append(pa.RecordBatch.from_arrays([none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int32()), none(k, pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema))
+            alike = (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & (ids[a] != ids[b])
+            a, b = a[alike], b[alike]
+            fits = (n[a] <= most[b]) & (n[b] <= most[a])
+            need = -(-4 * (n[a] + n[b]) // 9) - np.maximum(n[a] - n[a] // 5, n[b] - n[b] // 5) + 1 - np.minimum(ranked[a], ranked[b])
+            found.append(np.stack([np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), need, fits], axis=1))
+        pairs = np.concatenate(found)
+        if len(pairs):
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            first = np.flatnonzero(np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)]))
+            share = np.diff(np.append(first, len(pairs)))
+            made.append(batch(u=pairs[first, 0], v=pairs[first, 1], share=share, need=np.minimum.reduceat(pairs[:, 2], first), fits=np.maximum.reduceat(pairs[:, 3], first).astype(bool)))
         return made, rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in batches:
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "n", "most")]
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "sizes", "most")]
             made, rest = out(cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)], False)
             yield from made
         if rest is not None:
             yield from out(rest, True)[0]
 
-    return rows.mapInArrow(run, "key long, id long, n int, most int, u long, v long")
+    return rows.mapInArrow(run, "key long, id long, n int, most int, u long, v long, share int, need int, fits boolean")
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
+def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` to join with: broadcast if its counted rows are few."""
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
@@ -252,7 +267,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def _with_text(pairs: DataFrame, rows: int, texts: DataFrame, end: str, name: str) -> DataFrame:
     """``pairs`` (so many rows) with the text of one end; a text in many pairs is sent in several rows, so that no task has them all."""
     many = pairs.groupBy(end).count().filter(F.col("count") > PAIRS_OF_A_ROW).select(end, F.ceil(F.col("count") / PAIRS_OF_A_ROW).cast("int").alias("copies"))
-    many = _small(many, rows // PAIRS_OF_A_ROW)  # no more texts than that are in so many pairs
+    many = small(many, rows // PAIRS_OF_A_ROW)  # no more texts than that are in so many pairs
     copies = F.coalesce("copies", F.lit(1))
     dealt = pairs.join(many, end, "left").withColumn("part", F.pmod(F.hash("u", "v"), copies)).drop("copies")
     sent = texts.withColumnRenamed("id", end).join(many, end, "left").select(end, F.col("text").alias(name), F.explode(F.sequence(F.lit(0), copies - 1)).alias("part"))
@@ -314,7 +329,7 @@ def _grown(comps: DataFrame | None, large: DataFrame, texts: DataFrame) -> DataF
         keys, cost = mixed.agg(F.count(F.lit(1)), F.sum(F.col("members") * (F.col("members") - F.col("main_members")))).first()
         if not keys:
             return comps
-        open_ = members.join(_small(mixed, keys), "key")
+        open_ = members.join(small(mixed, keys), "key")
         share = PAIRS_A_ROUND / cost
         drawn = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1_000_000)) < share * 1_000_000
         outside = cut(open_.filter((F.col("component") != F.col("main")) & drawn).select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("most").alias("x_most"), F.col("component").alias("other"), "blocks"))
@@ -326,7 +341,7 @@ def _grown(comps: DataFrame | None, large: DataFrame, texts: DataFrame) -> DataF
         if share >= 1:
             return comps
         done = outside.select("key", F.col("x").alias("id"))
-        large = members.join(_small(done, done.count()), ["key", "id"], "left_anti").drop("component")
+        large = members.join(small(done, done.count()), ["key", "id"], "left_anti").drop("component")
         turn += 1
 
 
@@ -339,7 +354,7 @@ def similar_components(docs: DataFrame, mark: Callable[[bytes | None], int], mar
     (smallest id of the same set) and a text's ``mark``; they are checked like all others.
     """
     usable = docs.filter("id is not null")
-    ranks = ranking(usable, bucket, max_ranked)
+    ranks, all_ranked = ranking(usable, bucket, max_ranked)
     lists = cut(_lists(usable, ranks, mark))
     rows = lists.count()
     few = lambda df: fewer_tasks(df, rows, ROWS_PER_TASK)
@@ -349,7 +364,8 @@ def similar_components(docs: DataFrame, mark: Callable[[bytes | None], int], mar
     repeated = not few(lists.select("id")).groupBy("id").count().filter("count > 1").isEmpty()
     if repeated:
         own = own.dropDuplicates(["id", "k1", "k2"])
-    rows_of = own.select("id", "n", F.inline(F.arrays_zip("keys", "most")).alias("key", "most")).select("key", "id", "n", "most")
+    sizes = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("ranked")).alias("sizes")
+    rows_of = own.select("id", sizes, F.inline(F.arrays_zip("keys", "most")).alias("key", "most")).select("key", "id", "sizes", "most")
     # ranked shingles are only passed through, so their rows are dealt over all tasks
     spread = F.when(F.col("most") < 0, F.pmod(F.xxhash64("id"), F.lit(1024))).otherwise(F.lit(0))
     dealt = rows_of.repartition(F.col("key"), spread).sortWithinPartitions("key")
@@ -357,9 +373,12 @@ def similar_components(docs: DataFrame, mark: Callable[[bytes | None], int], mar
     large = met.filter("u is null").select("key", "id", "n", "most")
     firsts = cut(large.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n", "most")).alias("first")).filter("members > 1"))
     n_large = firsts.count()
-    large = cut(large.join(_small(firsts, n_large), "key").select("key", "id", "n", "most", "first"))
+    large = cut(large.join(small(firsts, n_large), "key").select("key", "id", "n", "most", "first"))
     fits = (F.col("n") <= F.col("first")["most"]) & (F.col("first")["n"] <= F.col("most")) & (F.col("id") != F.col("first")["id"])
-    unsure = met.filter("u is not null").select("u", "v").unionByName(large.filter(fits).select(*_ends(F.col("id"), F.col("first")["id"])))
+    pairs = met.filter("u is not null").groupBy("u", "v").agg(F.sum("share").alias("share"), F.min("need").alias("need"), F.bool_or("fits").alias("fits"))
+    # where a list is large though its shingle isn't ranked, what its members share is not counted
+    pairs = pairs.filter(F.col("fits") & (F.col("share") >= F.col("need"))) if all_ranked else pairs.filter("fits")
+    unsure = pairs.select("u", "v").unionByName(large.filter(fits).select(*_ends(F.col("id"), F.col("first")["id"])))
     marked = few(few(lists.select("id", "mark", "k1", "k2")).join(named, ["k1", "k2"])).select("id", "first_id", "mark")
     unsure = cut(few(unsure.unionByName(marked_pairs(marked).filter("u <> v").select(*_ends(F.col("u"), F.col("v"))))).distinct())
     large = large.drop("first")
@@ -367,7 +386,7 @@ def similar_components(docs: DataFrame, mark: Callable[[bytes | None], int], mar
     n = ids.count()
     comps = None
     if n:
-        texts = cut(usable.join(_small(ids, n), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+        texts = cut(usable.join(small(ids, n), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
         comps = _grown(_settled(None, unsure, texts), large, texts)
     if comps is None:
         comps = docs.sparkSession.createDataFrame([], "node long, component long")
