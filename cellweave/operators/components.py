@@ -9,13 +9,17 @@ the edge table, checkpointed, so it never gathers a component in one place.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.plans.lineage import cut, fewer_tasks
 
 #: Above this many edges (16 bytes each) the driver is not used.
 MAX_DRIVER_EDGES = 1_000_000
+#: Nodes with more edges than this are joined apart from the others.
+HUB = 100_000
+#: Up to this many edges (24 bytes each) a round sorts the edges of a node in one task, in fewer steps.
+FEW_EDGES = 500_000
 
 
 def minimum_labels(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,22 +48,45 @@ def _state(edges: DataFrame) -> tuple[int, tuple]:
     return row[0], tuple(row)
 
 
+def _with_lowest(edges: DataFrame, degrees: DataFrame, rows: int) -> DataFrame:
+    """``edges`` with m of their u, from u, m, n (the edges of u). Rows of hubs, which are few, don't meet in one task."""
+    if rows <= HUB:
+        return edges.join(degrees.select("u", "m"), "u")
+    hubs = F.broadcast(degrees.filter(F.col("n") > HUB).select("u", "m"))  # 16 bytes for every HUB edges at most
+    others = edges.join(hubs.select("u"), "u", "left_anti").join(degrees.filter(F.col("n") <= HUB).select("u", "m"), "u")
+    return others.unionByName(edges.join(hubs, "u").select(*others.columns))
+
+
+def _small_round(pairs: DataFrame, n: int) -> DataFrame:
+    """A large-star and a small-star step by windows, which spill but keep all edges of a node together."""
+    lowest = F.min("v").over(Window.partitionBy("u"))
+    both = fewer_tasks(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * n)
+    large = both.select("u", "v", F.least(lowest, "u").alias("m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    return large.select("u", "v", lowest.alias("m")).select(F.inline(ends)).filter("u <> v").distinct()
+
+
+def _round(pairs: DataFrame, n: int) -> DataFrame:
+    """The same for any number of edges, by joins with the lowest neighbour of each node."""
+    few = lambda df: fewer_tasks(df, 2 * n)  # noqa: E731  a star has no more rows than edges have ends
+    pairs = few(pairs)
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    lowest = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+    large = few(_with_lowest(both, lowest, 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")).distinct()
+    large = few(large)
+    least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    linked = few(_with_lowest(large, least, 2 * n))
+    return few(linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(few(least).select("u", F.col("m").alias("v")))).distinct()
+
+
 def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges``: bigint columns u, v. Returns node, component; no driver-side data, checkpointed rounds."""
     pairs = edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     pairs = cut(pairs)
     n, before = _state(pairs)
     for _ in range(max_rounds if n else 0):
-        few = lambda df: fewer_tasks(df, 2 * n)  # noqa: B023, E731  a star has no more rows than edges have ends
-        pairs = few(pairs)
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = few(both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")).distinct()
-        large = few(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = few(large.join(least, "u"))
-        small = few(linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(few(least).select("u", F.col("m").alias("v")))).distinct()
-        pairs = cut(few(small))
+        step = _small_round if n <= FEW_EDGES else _round
+        pairs = cut(fewer_tasks(step(pairs, n), 2 * n))
         n, after = _state(pairs)
         if after == before:
             break
@@ -85,7 +112,9 @@ def connected_components(edges: DataFrame, strategy: str = "auto", max_driver_ed
     if strategy == "auto":
         kept = kept.persist()
         if kept.limit(max_driver_edges + 1).count() > max_driver_edges:
-            return star_components(kept)
+            found = star_components(kept)  # its rounds are checkpointed, so the edges are read no more
+            kept.unpersist()
+            return found
     table = kept.toArrow()
     node, component = minimum_labels(table["u"].to_numpy(), table["v"].to_numpy())
     spark = edges.sparkSession

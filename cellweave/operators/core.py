@@ -58,10 +58,14 @@ def cell_status(marked: DataFrame) -> DataFrame:
     return marked.groupBy("cell").agg(F.first("kx").alias("kx"), F.first("ky").alias("ky"), status(F.bool_or("is_core"), F.bool_and("is_core")).alias("status"))
 
 
+def extremes_of(x: str, y: str) -> Column:
+    """An aggregate: the points of least and largest x, and of least and largest y."""
+    point = F.struct(x, y)
+    return F.array(F.min_by(point, x), F.max_by(point, x), F.min_by(point, y), F.max_by(point, y))
+
+
 def core_cells(marked: DataFrame) -> DataFrame:
     """Cells with core points: the box of those, their number, and four extreme ones."""
-    point = F.struct("x", "y")
-    extremes = F.array(F.min_by(point, "x"), F.max_by(point, "x"), F.min_by(point, "y"), F.max_by(point, "y"))
     return (
         marked.filter("is_core")
         .groupBy("cell")
@@ -73,6 +77,6 @@ def core_cells(marked: DataFrame) -> DataFrame:
             F.max("x").alias("xmax"),
             F.min("y").alias("ymin"),
             F.max("y").alias("ymax"),
-            extremes.alias("extremes"),
+            extremes_of("x", "y").alias("extremes"),
         )
     )

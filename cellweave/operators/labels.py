@@ -2,37 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.functions.grid import float32, point_box_distance, squared_distance
+from cellweave.functions.grid import box_box_distance, float32, point_box_distance, squared_distance
 from cellweave.operators.components import connected_components
-from cellweave.operators.core import near_boxes
+from cellweave.operators.core import extremes_of, near_boxes
+from cellweave.operators.numbering import dense_numbers
 from cellweave.operators.stencil import FULL, close_pairs
 from cellweave.params import Params
 
 NUMBERINGS = ("cell", "first_core")
+#: Pairs of cells with more pairs of core points than this are first compared by parts: so many by so many.
+DENSE_PAIRS, PARTS = 1_000_000, 8
+BOX = ("xmin", "xmax", "ymin", "ymax")
 
 
-def cell_edges(marked: DataFrame, cores: DataFrame, params: Params) -> DataFrame:
+def _box(end: str) -> dict[str, Column]:
+    return {k: F.col(f"{end}_{k}") for k in BOX}
+
+
+def _touching(pairs: DataFrame, eps_sq: Column) -> DataFrame:
+    """``pairs`` with ``touch``: whether extreme points of both ends are within eps."""
+    touch = F.exists("a_extremes", lambda p: F.exists("b_extremes", lambda q: squared_distance(p["x"], p["y"], q["x"], q["y"]) <= eps_sq))
+    return pairs.withColumn("touch", touch)
+
+
+def _meeting(pairs: DataFrame, points: DataFrame, keys: list[str], eps_sq: Column) -> DataFrame:
+    """u, v of the pairs with points (columns ``keys``, x, y) within eps; of each end only those that are within eps of the other's box meet."""
+    end = lambda e: points.select(*[F.col(k).alias(f"{e}_{k}") for k in keys], F.col("x").alias(f"{e}x"), F.col("y").alias(f"{e}y"))
+    near = lambda e, other: point_box_distance(F.col(f"{e}x"), F.col(f"{e}y"), *_box(other).values()) <= eps_sq
+    one = pairs.join(end("a"), [f"a_{k}" for k in keys]).filter(near("a", "b"))
+    both = one.join(end("b"), [f"b_{k}" for k in keys]).filter(near("b", "a") & (squared_distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= eps_sq))
+    return both.select(F.col("a_cell").alias("u"), F.col("b_cell").alias("v")).distinct()
+
+
+def _by_parts(pairs: DataFrame, cores: DataFrame, points: DataFrame, eps_sq: Column) -> DataFrame:
+    """u, v of the pairs with points within eps, for dense cells.
+
+    The boxes of the cells are cut into parts. Two parts with extreme points within eps settle a pair of cells;
+    of those that are left, only parts whose boxes are within eps are expanded to points.
+    """
+    ends = pairs.select(F.explode(F.array("a_cell", "b_cell")).alias("cell")).distinct()
+    place = lambda v: F.least(F.floor((F.col(v) - F.col(f"{v}min")) / F.greatest(F.col(f"{v}max") - F.col(f"{v}min"), float32(1e-30)) * PARTS), F.lit(PARTS - 1))
+    placed = points.join(cores.select("cell", *BOX).join(ends, "cell", "left_semi"), "cell").select("cell", (place("x") * PARTS + place("y")).alias("part"), "x", "y")
+    parts = placed.groupBy("cell", "part").agg(F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax"), extremes_of("x", "y").alias("extremes"))
+    end = lambda e: parts.select(*[F.col(c).alias(f"{e}_{c}") for c in parts.columns])
+    one = pairs.select("a_cell", "b_cell", *[F.col(f"b_{k}").alias(f"c_{k}") for k in BOX]).join(end("a"), "a_cell").filter(box_box_distance(_box("a"), _box("c")) <= eps_sq)
+    both = one.drop(*[f"c_{k}" for k in BOX]).join(end("b"), "b_cell").filter(box_box_distance(_box("a"), _box("b")) <= eps_sq)
+    judged = _touching(both, eps_sq)
+    sure = judged.filter("touch").select(F.col("a_cell").alias("u"), F.col("b_cell").alias("v")).distinct()
+    left = judged.join(sure, (F.col("a_cell") == F.col("u")) & (F.col("b_cell") == F.col("v")), "left_anti").drop("touch", "a_extremes", "b_extremes")
+    return sure.unionByName(_meeting(left, placed, ["cell", "part"], eps_sq))
+
+
+def cell_edges(marked: DataFrame, cores: DataFrame, params: Params, dense_pairs: int = DENSE_PAIRS) -> DataFrame:
     """u, v: pairs of cells with core points within eps of each other.
 
     Most pairs are settled by their extreme points, one row for each pair of cells; only the rest is
-    expanded, and only to core points that are within eps of the other cell's box.
+    expanded, and only to core points that are within eps of the other cell's box. Pairs of dense cells
+    are compared by parts before that.
     """
     eps_sq = float32(params.eps_sq)
-    pairs = close_pairs(cores, params)
-    touch = F.exists("a_extremes", lambda p: F.exists("b_extremes", lambda q: squared_distance(p["x"], p["y"], q["x"], q["y"]) <= eps_sq))
-    judged = pairs.withColumn("touch", touch)
+    judged = _touching(close_pairs(cores, params), eps_sq)
     sure = judged.filter("touch").select(F.col("a_cell").alias("u"), F.col("b_cell").alias("v"))
     points = marked.filter("is_core").select("cell", "x", "y")
-    box = lambda end: [F.col(f"{end}_{k}") for k in ("xmin", "xmax", "ymin", "ymax")]
-    a = points.select(F.col("cell").alias("a_cell"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = points.select(F.col("cell").alias("b_cell"), F.col("x").alias("bx"), F.col("y").alias("by"))
     unsure = judged.filter("not touch").drop("touch", "a_extremes", "b_extremes")
-    one = unsure.join(a, "a_cell").filter(point_box_distance(F.col("ax"), F.col("ay"), *box("b")) <= eps_sq)
-    both = one.join(b, "b_cell").filter(squared_distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= eps_sq)
-    return sure.unionByName(both.select(F.col("a_cell").alias("u"), F.col("b_cell").alias("v")).distinct())
+    largest = cores.agg(F.max("n")).first()[0] or 0
+    if largest * largest <= dense_pairs:
+        return sure.unionByName(_meeting(unsure, points, ["cell"], eps_sq))
+    dense = F.col("a_n").cast("double") * F.col("b_n") > dense_pairs
+    return sure.unionByName(_meeting(unsure.filter(~dense), points, ["cell"], eps_sq)).unionByName(_by_parts(unsure.filter(dense), cores, points, eps_sq))
 
 
 def cell_components(cores: DataFrame, edges: DataFrame, strategy: str = "auto") -> DataFrame:
@@ -49,8 +89,7 @@ def number_clusters(components: DataFrame, marked: DataFrame, numbering: str = "
         roots = components.select("root").distinct().withColumn("by", F.col("root"))
     else:
         roots = marked.filter("is_core").join(components, "cell").groupBy("root").agg(F.min("id").alias("by"))
-    # one row for each cluster; the only step without a key
-    numbered = roots.select("root", (F.row_number().over(Window.orderBy("by")) - 1).cast("int").alias("cluster"))
+    numbered = dense_numbers(roots, "by", "cluster").select("root", "cluster")
     return components.join(numbered, "root").select("cell", "root", "cluster")
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.operators import core
+from cellweave.operators.numbering import dense_numbers
 from cellweave.operators.stencil import neighbour_table
 from cellweave.plans.dbscan import prepare
 
@@ -84,7 +85,7 @@ def cluster_summary(labels: DataFrame, label: str = "label") -> DataFrame:
 def canonical_labels(labels: DataFrame, id: str = "id", label: str = "label") -> DataFrame:
     """id, label renumbered from 0 by the smallest id of each cluster; noise stays -1."""
     firsts = labels.filter(F.col(label) >= 0).groupBy(label).agg(F.min(id).alias("first_id"))
-    numbered = firsts.select(F.col(label).alias("old"), (F.row_number().over(Window.orderBy("first_id")) - 1).cast("int").alias("new"))
+    numbered = dense_numbers(firsts, "first_id", "new").select(F.col(label).alias("old"), "new")
     return labels.join(numbered, F.col(label) == F.col("old"), "left").select(id, F.coalesce("new", F.lit(-1)).cast("int").alias(label))
 
 

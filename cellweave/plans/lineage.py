@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where the cluster names none."""
+    """The session's checkpoint folder. Where ``spark.checkpoint.dir`` names none, a local master gets a temporary
+    one, which goes with the process; on a cluster executors couldn't share it, so that is an error."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cellweave-checkpoints-"))
+        if not shared:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp(prefix="cellweave-checkpoints-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        context.setCheckpointDir(shared)
         current = context.getCheckpointDir()
     return current
 

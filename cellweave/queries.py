@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +92,17 @@ def _labels(name: str, eps: float, ms: int, **options) -> Callable[[SparkSession
     return lambda spark, sf_dir: dbscan2d(SETS[name].read(spark, sf_dir), eps, ms, **options).select("id", "label")
 
 
+#: Tables of the debug form, and what counts their rows in SQL.
+_DEBUG = {"points": "pts", "cells": "cells", "marked": "m", "cell_status": "cells", "edges": "edges WHERE a < b", "components": "cc", "clusters": "cc", "core_labels": "corelab", "labels": "lab WHERE label >= 0"}
+
+
+def _debug_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, n: the sizes of the debug form's tables."""
+    tables = diagnostics.dbscan2d_debug(SETS["events"].read(spark, sf_dir), 0.5, 5)
+    counted = [tables[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name in _DEBUG]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def _doubles(frame: DataFrame, *columns: str) -> DataFrame:
     return frame.select(*[F.col(c).cast("double").alias(c) if c in columns else c for c in frame.columns])
 
@@ -188,7 +200,14 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
         _two("SELECT count(*) FILTER (WHERE a.label <> b.label) AS n_different FROM a_canon a JOIN b_canon b USING (id)"),
     ),
     "ari": (_ari, _ARI_SQL),
-    "stage_profile": (lambda spark, sf_dir: diagnostics.profile_table(SETS["events"].read(spark, sf_dir), 0.5, 5), None),
+    "stage_profile": (
+        lambda spark, sf_dir: diagnostics.profile_table(SETS["events"].read(spark, sf_dir), 0.5, 5).select("stage", "ordinal", (F.col("ms") > 0).alias("timed")),
+        "SELECT stage, ordinal, true AS timed FROM (VALUES " + ", ".join(f"('{s}', {i + 1})" for i, s in enumerate(diagnostics.STAGES)) + ") AS t(stage, ordinal)",
+    ),
+    "debug_tables": (
+        _debug_sizes,
+        _sql("SELECT name, n FROM (VALUES " + ", ".join(f"('{name}', (SELECT count(*) FROM {sql}))" for name, sql in _DEBUG.items()) + ") AS t(name, n)"),
+    ),
 }
 
 

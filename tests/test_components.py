@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 
-from cellweave.operators.components import connected_components, minimum_labels
+from cellweave.operators import components
+from cellweave.operators.components import connected_components, minimum_labels, star_components
+from cellweave.operators.numbering import dense_numbers
 
 
 def brute(edges):
@@ -53,6 +55,24 @@ def test_auto_falls_back_to_stars(spark):
     assert {r.component for r in got} == {0} and len(got) == 31
 
 
+@pytest.mark.parametrize("edges", list(graphs())[2:], ids=["path", "hub", "random"])
+def test_hubs_are_joined_apart(spark, monkeypatch, edges):
+    monkeypatch.setattr(components, "HUB", 3)
+    monkeypatch.setattr(components, "FEW_EDGES", 0)
+    got = {r.node: r.component for r in star_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == brute([e for e in edges if e[0] != e[1]])
+
+
+def test_dense_numbers_over_ranges(spark):
+    values = [7 * i % 1009 - 300 for i in range(1009)]
+    frame = spark.createDataFrame([(v, str(v)) for v in values], "by long, __part string").repartition(7)
+    for rows_a_task in (10_000, 50):
+        got = dense_numbers(frame, "by", "n", rows_a_task)
+        assert got.columns == ["by", "__part", "n"]
+        assert sorted((r.n, r.by) for r in got.collect()) == list(enumerate(sorted(values)))
+    assert dense_numbers(frame.limit(0), "by", "n").count() == 0
+
+
 def test_labels_in_arrays():
     node, root = minimum_labels(np.array([5, 9, 1]), np.array([7, 7, 2]))
     assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {5: 5, 7: 5, 9: 5, 1: 1, 2: 1}

@@ -4,7 +4,9 @@ import pytest
 
 import cellweave
 from cellweave import DBSCAN, dbscan2d
-from cellweave.plans import diagnostics
+from cellweave.operators import labels as label_steps
+from cellweave.plans import diagnostics, lineage
+from cellweave.plans.dbscan import prepare
 from cellweave.sources.points import from_array_column, from_numpy
 from tests.brute import brute_labels
 
@@ -216,3 +218,48 @@ def test_comparisons(spark):
     assert diagnostics.adjusted_rand_index(a, b).first()[0] == pytest.approx((2 - 2 * 4 / 15) / (3 - 2 * 4 / 15))
     empty = a.limit(0)
     assert diagnostics.n_clusters(empty) == 0 and diagnostics.n_noise(empty) == 0
+
+
+@pytest.mark.parametrize("gap", [0.09, 0.0985, 0.2])
+def test_two_dense_cells_face_each_other(spark, monkeypatch, gap):
+    """20,000 points each, apart by less or more than eps, with ragged faces: the edge is that of all pairs."""
+    rng = np.random.default_rng(9)
+    side = 0.06
+    a = np.c_[-rng.random(20_000) * side, rng.random(20_000) * side]
+    b = np.c_[rng.random(20_000) * side + gap, rng.random(20_000) * side]
+    a[:, 0] -= 0.01 * np.sin(a[:, 1] * 300) ** 2
+    b[:, 0] += 0.01 * np.cos(b[:, 1] * 300) ** 2
+    X = (np.vstack([a, b]) + 0.005).astype(f32)
+    stages = prepare(from_numpy(spark, X), 0.1, 5)
+    monkeypatch.setattr(label_steps, "DENSE_PAIRS", 1_000)
+    dense = label_steps.cell_edges(stages.marked, stages.cores, stages.params, 1_000)
+    plain = label_steps.cell_edges(stages.marked, stages.cores, stages.params, 10**12)
+    key = lambda frame: sorted((min(r.u, r.v), max(r.u, r.v)) for r in frame.distinct().collect())
+    assert key(dense) == key(plain)
+
+
+def test_dense_pairs_by_parts_on_all_cases(spark):
+    for X, eps, ms in list(CASES.values())[:8]:
+        stages = prepare(from_numpy(spark, X), eps, ms)
+        key = lambda frame: sorted((min(r.u, r.v), max(r.u, r.v)) for r in frame.distinct().collect())
+        assert key(label_steps.cell_edges(stages.marked, stages.cores, stages.params, 0)) == key(stages.edges)
+
+
+def test_checkpoint_folder_is_named_on_clusters():
+    class Context:
+        master, folder = "spark://host:7077", None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.ensure_checkpoint_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://shared/folder"}
+    assert lineage.ensure_checkpoint_dir(Session()) == "hdfs://shared/folder"
