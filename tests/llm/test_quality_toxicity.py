@@ -102,3 +102,65 @@ def test_thresholds_are_ordered_and_weights_shared():
     model = toxicity.ToxicityModel({}, theta, 0.0)
     above = model.above(np.array([-5.0, 0.0, 5.0]))
     assert (np.diff(above, axis=1) <= 0).all() and (np.diff(above, axis=0) >= 0).all()
+
+
+def test_fit_is_where_the_likelihood_is_greatest():
+    """Near the fitted weights and thresholds no step along any of them makes the weighted likelihood greater."""
+    rng = np.random.default_rng(3)
+    rows = [np.flatnonzero(rng.random(5) < 0.5) for _ in range(400)]
+    grade = np.array([np.clip(int(2 * (0 in r) - (1 in r) + rng.normal(0.5, 1)), 0, 3) for r in rows])
+    w, theta = toxicity.fit_ordinal(rows, grade, 5, rounds=3000)
+    weight = np.where(grade > 0, 0.5 / (grade > 0).mean(), 0.5 / (grade == 0).mean()) / len(rows)
+
+    def loss(x):
+        total = np.array([x[:5][r].sum() for r in rows])
+        p = 1 / (1 + np.exp(x[5:][None, :] - total[:, None]))
+        over = grade[:, None] > np.arange(3)[None, :]
+        return -(weight[:, None] * np.where(over, np.log(p), np.log(1 - p))).sum() + 2e-3 / 10 * (x[:5] ** 2).sum() / 2
+
+    at = np.concatenate([w, theta])
+    for k in range(8):
+        for step in (-0.05, 0.05):
+            assert loss(at + step * np.eye(8)[k]) > loss(at)
+
+
+def test_made_grades_are_thirds_of_the_toxic_rows():
+    rng = np.random.default_rng(5)
+    rows = [np.flatnonzero(rng.random(8) < 0.4) for _ in range(900)]
+    toxic = np.array([len(r) + rng.normal() > 4.2 for r in rows])
+    grade = toxicity.made_grades(rows, toxic, np.arange(900) % 2, 8)
+    assert ((grade > 0) == toxic).all()
+    sizes = [np.mean([len(r) for r, g in zip(rows, grade, strict=True) if g == k]) for k in (1, 2, 3)]
+    assert sizes == sorted(sizes) and all(0.2 < (grade == k).sum() / toxic.sum() < 0.47 for k in (1, 2, 3))
+
+
+ODD = [*((None if i is None else 20_000 + i, t) for i, t in AWKWARD), (20_050, "nitwit " * 30_000), (20_051, "x" * 200_000), (20_052, "NITWIT, Dullard!\u0130 \U0001f642")]
+
+
+def test_awkward_documents_by_fitted_models(spark, tables):
+    """Null, empty, long and repeated texts: the score is that of plain Python over the whole text."""
+    docs, labels, _ = tables
+    odd = documents(spark, ODD)
+    model, fitted = quality.fit(docs, labels), toxicity.fit(docs, labels)
+    assert model.beta is not None and fitted.thresholds is not None
+
+    def severity(text):
+        features = {f for w in set(toxicity._WORD((text or "").lower())) for f in toxicity.word_features(w)}
+        total = sum(fitted.weights.get(f, 0.0) for f in features)
+        return sum(1 / (1 + np.exp(t - total)) for t in fitted.thresholds)
+
+    every = docs.unionByName(odd)
+    graded = [r for r in toxicity.grade_documents(every, labels).collect() if r.doc_id is None or r.doc_id >= 20_000]
+    assert np.allclose(sorted(r.severity for r in graded), sorted(severity(t) for _, t in ODD), atol=1e-6)
+    assert {r.toxic for r in graded if r.doc_id in (20_050, 20_052)} == {1} and {r.toxic for r in graded if r.doc_id in (20_001, 20_002)} == {0}
+    scored = [r for r in quality.score_documents(every, labels).collect() if r.doc_id is None or r.doc_id >= 20_000]
+    plain = model.score(np.array([quality.statistics(None if t is None else t.encode()) for _, t in ODD]))
+    assert np.allclose(sorted(r.score for r in scored), sorted(plain), atol=1e-6)
+
+
+def test_clashing_columns_in_labels(spark, tables):
+    docs, labels, _ = tables
+    extra = labels.selectExpr("*", "'x' as text", "1 as y", "2 as fold", "3 as half", "4 as features")
+    a = sorted((r.doc_id, round(r.severity, 9)) for r in toxicity.grade_documents(docs, labels).collect())
+    assert a == sorted((r.doc_id, round(r.severity, 9)) for r in toxicity.grade_documents(docs, extra).collect())
+    assert quality.score_documents(docs, extra).count() == docs.count()
