@@ -286,8 +286,9 @@ def _checked(pairs: DataFrame, rows: int, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _settled(comps: DataFrame | None, unsure: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """node, component over ``comps`` (None: no links yet) and those of the unsure pairs that hold.
+def _settled(comps: DataFrame | None, unsure: DataFrame, texts: DataFrame, once: bool = False) -> tuple[DataFrame | None, DataFrame | None]:
+    """(node, component) over ``comps`` (None: no links yet) and those of the unsure pairs that hold; with ``once`` the
+    pairs that are left after the first round too.
 
     A round checks a few pairs of each text; pairs whose ends are in one component by then need no check.
     So a group of many similar texts costs a few checks for each of them, and none that matters is left out.
@@ -301,19 +302,22 @@ def _settled(comps: DataFrame | None, unsure: DataFrame, texts: DataFrame) -> Da
         now = ranked.filter(F.col("turn") <= checks).select("u", "v")
         rows = now.count()
         if not rows:
-            return comps
+            return comps, None
         held = cut(_checked(now, rows, texts))
         if not held.isEmpty():
             comps = star_components(held if comps is None else held.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v"))))
         left, checks = ranked.filter(F.col("turn") > checks).select("u", "v"), checks * MORE_CHECKS
+        if once:
+            return comps, left
 
 
 def _ends(u: Column, v: Column) -> list[Column]:
     return [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
 
 
-def _grown(comps: DataFrame | None, large: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """node, component over ``comps`` (None: no links) and all that holds within large lists (key, id, n, most).
+def _grown(comps: DataFrame | None, left: DataFrame | None, large: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """node, component over ``comps`` (None: no links), the pairs ``left`` that hold, and all that holds within large
+    lists (key, id, n, most).
 
     In a large list, whatever is outside its most frequent component is compared with the members of other
     components that sizes and places allow. Where that is very many pairs to look at, a round takes a share
@@ -328,7 +332,7 @@ def _grown(comps: DataFrame | None, large: DataFrame, texts: DataFrame) -> DataF
         mixed = cut(sums.filter("main_members < members").select("key", "main", "members", "main_members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
         keys, cost = mixed.agg(F.count(F.lit(1)), F.sum(F.col("members") * (F.col("members") - F.col("main_members")))).first()
         if not keys:
-            return comps
+            return comps if left is None else _settled(comps, left, texts)[0]
         open_ = members.join(small(mixed, keys), "key")
         share = PAIRS_A_ROUND / cost
         drawn = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1_000_000)) < share * 1_000_000
@@ -337,7 +341,7 @@ def _grown(comps: DataFrame | None, large: DataFrame, texts: DataFrame) -> DataF
         each = outside.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).drop("blocks")
         fits = (F.col("component") != F.col("other")) & (F.col("n") <= F.col("x_most")) & (F.col("xn") <= F.col("most"))
         pairs = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(each, ["key", "block"]).filter(fits).select(*_ends(F.col("id"), F.col("x"))).distinct()
-        comps = _settled(comps, cut(pairs), texts)
+        comps, left = _settled(comps, cut(pairs if left is None else pairs.unionByName(left).distinct()), texts)
         if share >= 1:
             return comps
         done = outside.select("key", F.col("x").alias("id"))
@@ -387,7 +391,7 @@ def similar_components(docs: DataFrame, mark: Callable[[bytes | None], int], mar
     comps = None
     if n:
         texts = cut(usable.join(small(ids, n), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-        comps = _grown(_settled(None, unsure, texts), large, texts)
+        comps = _grown(*_settled(None, unsure, texts, once=True), large, texts)
     if comps is None:
         comps = docs.sparkSession.createDataFrame([], "node long, component long")
     if repeated:  # an id may stand for several sets
