@@ -44,7 +44,7 @@ def signature(text: Column) -> Column:
         return F.shiftright(x, _POSITION_BITS)
 
     def numbered(places: Column) -> Column:
-        """The occurrence-numbered k-mers of the whole text, in text order."""
+        """struct<e, p>: the occurrence-numbered k-mers of the whole text, and their places (null: e is in text order)."""
 
         def runs(ordered: Column) -> Column:
             starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (kmer(F.get(ordered, i)) != kmer(F.get(ordered, i - 1))))
@@ -54,17 +54,17 @@ def signature(text: Column) -> Column:
                     at,
                     lambda begin, r: F.transform(
                         F.slice(ordered, begin + 1, F.coalesce(F.get(at, r + 1), F.size(ordered)) - begin),
-                        lambda x, o: F.struct(x.bitwiseAND(F.lit(place)).alias("p"), F.xxhash64(kmer(x), o).alias("e")),
+                        lambda x, o: F.xxhash64(kmer(x), o),
                     ),
                 )
-                return F.transform(F.sort_array(F.flatten(each)), lambda s: s["e"])
+                return F.struct(F.flatten(each).alias("e"), ordered.alias("p"))
 
             return let(starts, items)
 
-        plain = F.transform(places, lambda x: F.xxhash64(kmer(x), F.lit(0)))
+        plain = F.struct(F.transform(places, lambda x: F.xxhash64(kmer(x), F.lit(0))).alias("e"), F.lit(None).cast("array<bigint>").alias("p"))
         return F.when(F.size(F.array_distinct(F.transform(places, kmer))) == F.size(places), plain).otherwise(let(F.sort_array(places), runs))
 
-    def entry(es: Column, ranks: Column, constant: Column) -> Column:
+    def entry(items: Column, ranks: Column, constant: Column) -> Column:
         """The two smallest of one order: the first by a pass over all, the second by what is on either side of it."""
 
         def chosen(order: Column) -> Column:
@@ -72,18 +72,23 @@ def signature(text: Column) -> Column:
                 a = first.bitwiseAND(F.lit(place)).cast("int")
                 before, after = F.slice(order, F.lit(1), a), F.slice(order, a + 2, F.size(order))
                 b = F.least(F.array_min(before), F.array_min(after)).bitwiseAND(F.lit(place)).cast("int")
-                both = F.xxhash64(F.get(es, F.least(a, b)), F.get(es, F.greatest(a, b)))
+                return let(b, lambda b: hashed(a, F.coalesce(b, a)))
+
+            def hashed(a: Column, b: Column) -> Column:
+                at = lambda j: F.coalesce(F.get(items["p"], j).bitwiseAND(F.lit(place)), j.cast("long"))
+                e = lambda j: F.get(items["e"], j)
+                both = F.when(at(a) <= at(b), F.xxhash64(e(a), e(b))).otherwise(F.xxhash64(e(b), e(a)))
                 return both.bitwiseAND(F.lit((1 << 32) - 1))
 
             return let(F.array_min(order), pair)
 
         return let(F.transform(ranks, lambda r: r.bitwiseXOR(constant)), chosen)
 
-    def entries(es: Column) -> Column:
+    def entries(items: Column) -> Column:
         constants = number_array([c & ~place for c in _constants()], "bigint")
-        ranks = F.transform(es, lambda e, i: e.bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("long")))
-        orders = let(ranks, lambda r: F.transform(constants, lambda c: entry(es, r, c)))
-        return F.when(F.size(es) > 0, orders).otherwise(F.array_repeat(F.lit(0).cast("long"), ENTRIES))
+        ranks = F.transform(items["e"], lambda e, i: e.bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("long")))
+        orders = let(ranks, lambda r: F.transform(constants, lambda c: entry(items, r, c)))
+        return F.when(F.size(items["e"]) > 0, orders).otherwise(F.array_repeat(F.lit(0).cast("long"), ENTRIES))
 
     tokens = F.regexp_extract_all(text, F.lit(r"\S{1,8}"), F.lit(0))
     return let(let(let(tokens, packed), numbered), entries)
