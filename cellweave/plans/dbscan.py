@@ -6,11 +6,13 @@ from typing import Union
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.operators import core, grid, labels
 from cellweave.params import Params
+from cellweave.plans import local
 from cellweave.plans.lineage import cut
 from cellweave.sources.points import from_numpy
 
@@ -80,12 +82,29 @@ def prepare(df: DataFrame, eps, min_samples, id: str = "id", x: str = "x", y: st
     return Stages(points, params, numbering, strategy)
 
 
+def _labelled_here(points: DataFrame, params: Params, numbering: str, unique: bool) -> DataFrame | None:
+    """id, label of a small point set, labelled on the driver; None if it has too many points or pairs."""
+    table = points.limit(local.MAX_POINTS + 1).toArrow()
+    if table.num_rows > local.MAX_POINTS:
+        return None
+    local.check_arrays(table, params, unique)
+    ids = table["id"].to_numpy()
+    try:
+        found = local.cluster(ids, table["x"].to_numpy(), table["y"].to_numpy(), params, numbering)
+    except local.TooManyPairs:
+        return None
+    return points.sparkSession.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "label": pa.array(found, pa.int32())}))
+
+
 def dbscan2d(X: ArrayLike2D, eps, min_samples, *, id: str = "id", x: str = "x", y: str = "y", label: str = "label", numbering: str = "cell", strategy: str = "auto", check_unique: bool = True) -> ArrayLike2D:
     """Cluster labels of 2-D float32 points: 0, 1, ... or -1 for noise.
 
     A DataFrame keeps its columns and gains ``label`` INT; its coordinates must be FLOAT and finite, its ids
     unique. An (N, 2) float32 array gives an int32 array in the same order. ``min_samples`` counts the
     point itself. Labels do not depend on row order or partitioning.
+
+    ``strategy`` "auto" labels small point sets (``local.MAX_POINTS``, and a bound of pairs) on the driver and others by the
+    distributed plan; "driver" and "stars" always take the plan and say how its components are found.
     """
     if isinstance(X, np.ndarray):
         if X.ndim != 2 or X.shape[1] != 2:
@@ -93,15 +112,30 @@ def dbscan2d(X: ArrayLike2D, eps, min_samples, *, id: str = "id", x: str = "x",
         if X.dtype != np.float32:
             raise ValueError(f"X must be float32, got {X.dtype}")
         Params.of(eps, min_samples)
+        if numbering not in labels.NUMBERINGS:
+            raise ValueError(f"numbering must be one of {labels.NUMBERINGS}, not {numbering!r}")
         if not len(X):
             return np.zeros(0, np.int32)
+        if strategy == "auto" and len(X) <= local.MAX_POINTS:
+            params, ids = Params.of(eps, min_samples), np.arange(len(X))
+            local.check_arrays(pa.table({"id": ids, "x": X[:, 0], "y": X[:, 1]}), params, unique=False)
+            try:
+                return local.cluster(ids, X[:, 0], X[:, 1], params, numbering)
+            except local.TooManyPairs:
+                pass
         table = dbscan2d(from_numpy(_session(), X), eps, min_samples, numbering=numbering, strategy=strategy, check_unique=False).select("id", "label").toArrow()
         out = np.empty(len(X), np.int32)
         out[table["id"].to_numpy()] = table["label"].to_numpy()
         return out
-    stages = prepare(X, eps, min_samples, id, x, y, numbering, strategy, check_unique)
     key, value = "__cellweave_id", "__cellweave_label"
-    found = stages.labels.select(F.col("id").alias(key), F.col("label").alias(value))
+    params, here = Params.of(eps, min_samples), None
+    if strategy == "auto" and numbering in labels.NUMBERINGS:
+        here = _labelled_here(grid.point_table(X, id, x, y), params, numbering, check_unique)
+    if here is None:
+        here = prepare(X, eps, min_samples, id, x, y, numbering, strategy, check_unique).labels
+    else:
+        here = F.broadcast(here)  # local.MAX_POINTS rows at most
+    found = here.select(F.col("id").alias(key), F.col("label").alias(value))
     kept = [F.col(f"`{c}`") for c in X.columns if c != label]
     return X.join(found, F.col(id).cast("long") == F.col(key), "left").select(*kept, F.coalesce(value, F.lit(-1)).cast("int").alias(label))
 

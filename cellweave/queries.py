@@ -176,9 +176,9 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "core_labels": (_of(lambda s: s.core_labels), _sql("SELECT id, label FROM corelab")),
     "border_assign": (_of(lambda s: s.border_labels), _sql("SELECT id, label FROM border")),
     "dbscan_events": (_labels("events", 0.5, 5), _sql(_LABELS)),
-    "dbscan_events_wide": (_labels("events", 1.0, 8), _sql(_LABELS, "events", 1.0, 8)),
+    "dbscan_events_wide": (_labels("events", 1.0, 8, strategy="driver"), _sql(_LABELS, "events", 1.0, 8)),
     "dbscan_orders": (_labels("orders", 0.5, 5), _sql(_LABELS, "orders", 0.5, 5)),
-    "dbscan_orders_wide": (_labels("orders", 1.0, 8), _sql(_LABELS, "orders", 1.0, 8)),
+    "dbscan_orders_wide": (_labels("orders", 1.0, 8, strategy="driver"), _sql(_LABELS, "orders", 1.0, 8)),
     "dbscan_part": (_labels("part", 1.0, 3), _sql(_LABELS, "part", 1.0, 3)),
     "dbscan_customer": (_labels("customer", 1.0, 3), _sql(_LABELS, "customer", 1.0, 3)),
     "dbscan_embeddings": (_labels("embeddings", 0.02, 5), _sql(_LABELS, "embeddings", 0.02, 5)),
@@ -189,10 +189,10 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
         _labels("events", 0.5, 5, numbering="first_core"),
         _sql("SELECT l.id, coalesce(f.new, -1) AS label FROM lab l LEFT JOIN (SELECT label, CAST(row_number() OVER (ORDER BY min(id)) - 1 AS INTEGER) AS new FROM corelab GROUP BY label) f USING (label)"),
     ),
-    "all_noise": (_labels("far", 1.0, 2), _sql(_LABELS, "far", 1.0, 2)),
-    "min_samples_one": (_labels("customer", 1.0, 1), _sql(_LABELS, "customer", 1.0, 1)),
-    "min_samples_exceeds_n": (_labels("customer", 1.0, 10_000_000), _sql(_LABELS, "customer", 1.0, 10_000_000)),
-    "empty_input": (_labels("nothing", 1.0, 5), _sql(_LABELS, "nothing", 1.0, 5)),
+    "all_noise": (_labels("far", 1.0, 2, strategy="driver"), _sql(_LABELS, "far", 1.0, 2)),
+    "min_samples_one": (_labels("customer", 1.0, 1, strategy="driver"), _sql(_LABELS, "customer", 1.0, 1)),
+    "min_samples_exceeds_n": (_labels("customer", 1.0, 10_000_000, strategy="driver"), _sql(_LABELS, "customer", 1.0, 10_000_000)),
+    "empty_input": (_labels("nothing", 1.0, 5, strategy="driver"), _sql(_LABELS, "nothing", 1.0, 5)),
     "cluster_summary": (lambda spark, sf_dir: diagnostics.cluster_summary(_labels("events", 0.5, 5)(spark, sf_dir)), _sql(_SUMMARY)),
     "canonical_labels": (lambda spark, sf_dir: diagnostics.canonical_labels(_labels("events", 0.5, 5)(spark, sf_dir)), f"WITH RECURSIVE {_ctes('events', 0.5, 5)}, {_CANON.format(p='')}\nSELECT id, label FROM canon"),
     "disagreement": (

@@ -5,7 +5,9 @@ import pytest
 import cellweave
 from cellweave import DBSCAN, dbscan2d
 from cellweave.operators import labels as label_steps
-from cellweave.plans import diagnostics, lineage
+from cellweave.params import Params
+from cellweave.plans import dbscan as dbscan_plan
+from cellweave.plans import diagnostics, lineage, local
 from cellweave.plans.dbscan import prepare
 from cellweave.sources.points import from_array_column, from_numpy
 from tests.brute import brute_labels
@@ -69,10 +71,11 @@ def _session(spark):
     return spark
 
 
+@pytest.mark.parametrize("strategy", ["auto", "driver"])
 @pytest.mark.parametrize("name", CASES)
-def test_labels_equal_brute_force(name):
+def test_labels_equal_brute_force(name, strategy):
     X, eps, ms = CASES[name]
-    got = dbscan2d(X, eps, ms)
+    got = dbscan2d(X, eps, ms, strategy=strategy)
     assert got.dtype == np.int32 and np.array_equal(got, brute_labels(X, eps, ms))
 
 
@@ -114,8 +117,29 @@ def test_nearest_core_tie_goes_to_the_smaller_id(spark):
         assert got == dict(zip(ids, want.tolist(), strict=True))
 
 
+def test_dense_or_large_sets_are_left_to_the_plan(spark, monkeypatch):
+    X, eps, ms = CASES["dense overlap"]
+    want = brute_labels(X, eps, ms).tolist()
+    frame = from_numpy(spark, X)
+    ids = np.arange(len(X))
+    with pytest.raises(local.TooManyPairs):
+        local.cluster(ids, X[:, 0], X[:, 1], Params.of(eps, ms), "cell", max_pairs=1000)
+    calls = []
+    monkeypatch.setattr(dbscan_plan, "prepare", lambda *a, **k: calls.append(1) or prepare(*a, **k))
+    for name, value in (("MAX_POINTS", 100), ("BLOCK", 1)):
+        with monkeypatch.context() as m:
+            m.setattr(local, name, value)
+            got = {r.id: r.label for r in dbscan2d(frame, eps, ms).collect()}
+            assert [got[i] for i in ids] == want
+    assert len(calls) == 2
+    with monkeypatch.context() as m:
+        m.setattr(local, "BLOCK", 3000)
+        assert dbscan2d(X, eps, ms).tolist() == want
+
+
 def test_first_core_numbering():
     X, eps, ms = CASES["dense overlap"]
+    assert np.array_equal(dbscan2d(X, eps, ms, numbering="first_core", strategy="driver"), brute_labels(X, eps, ms, numbering="first_core"))
     assert np.array_equal(dbscan2d(X, eps, ms, numbering="first_core"), brute_labels(X, eps, ms, numbering="first_core"))
     with pytest.raises(ValueError, match="numbering"):
         dbscan2d(X, eps, ms, numbering="other")
@@ -263,3 +287,19 @@ def test_checkpoint_folder_is_named_on_clusters():
         lineage.ensure_checkpoint_dir(Session())
     Session.conf = {"spark.checkpoint.dir": "hdfs://shared/folder"}
     assert lineage.ensure_checkpoint_dir(Session()) == "hdfs://shared/folder"
+
+
+def large_blobs():
+    rng = np.random.default_rng(0)
+    X = np.vstack([rng.normal(c, 2.0, (2500, 2)) for c in rng.uniform(-25, 25, (20, 2))]).astype(f32)
+    rng.shuffle(X)
+    return X
+
+
+@pytest.mark.parametrize("X,clusters,noise", [(large_blobs(), 27, 897), (np.random.default_rng(0).uniform(-200 * np.sqrt(0.05), 200 * np.sqrt(0.05), (50_000, 2)).astype(f32), 1178, 3694)], ids=["blobs", "uniform"])
+def test_fifty_thousand_points_give_the_same_labels_every_time(X, clusters, noise):
+    here = dbscan2d(X, 0.5, 5)
+    assert (here.max() + 1, (here == -1).sum()) == (clusters, noise)
+    assert np.array_equal(here, dbscan2d(X, 0.5, 5))
+    for strategy in ("driver", "stars"):
+        assert np.array_equal(here, dbscan2d(X, 0.5, 5, strategy=strategy))
