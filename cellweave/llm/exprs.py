@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,6 +14,22 @@ from pyspark.sql import functions as F
 TEXTS = 1000
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = TEXTS) -> Iterator[None]:
+    """Jobs that run inside send no more than so many rows to a worker at once: texts are long, and a batch of the
+    usual 10,000 is held by the executor and by its worker. The session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

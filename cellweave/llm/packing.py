@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.llm.exprs import small_batches
 from cellweave.plans.lineage import cut
 
 CAPACITY = 2048
@@ -89,7 +90,8 @@ class Tokens:
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise RuntimeError("packed ids need 4-byte little-endian integers")
         # tokens that the library finds in the text as it stands, whatever they touch
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added_start = os.path.commonprefix(self.added) or b""
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.marks = dict(zip(MARKS, self._ids([m.decode() for m in MARKS]), strict=True))
@@ -115,14 +117,14 @@ class Tokens:
 
     def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """Ids of chunks that the young generation lacks; it gets all of them that are not long."""
-        known, old, marks = self.known, self.old, self.marks
+        known, old, marks, start = self.known, self.old, self.marks, self.added_start
         here, plain = {}, {}
         for c in chunks:
             if c in old:
                 here[c] = old[c]
                 continue
             low = c.lower()
-            if any(t.lower() in low for t in self.added):
+            if start in low and any(t in low for t in self.added):
                 low = c  # of this case only, and with its mark
             elif low[-1:] in marks and low[-2:-1].isalpha():
                 low = low[:-1]
@@ -216,7 +218,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     text is the closing id alone. Repeated rows and null ids are packed like others; an empty table gives
     no rows. Other columns are not read. ``vocabulary`` is a path that the driver can open.
     """
-    pieces = cut(local_bins(docs, vocabulary, id_col, text_col, capacity))
+    with small_batches(docs.sparkSession):
+        pieces = cut(local_bins(docs, vocabulary, id_col, text_col, capacity))
     placed = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", F.lit(0).alias("shift"))
     underfull = F.col("fill") < capacity - slack
     open_bins = pieces.filter(underfull).groupBy("bin").agg(F.max("fill").alias("fill"))

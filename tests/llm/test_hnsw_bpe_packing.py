@@ -51,6 +51,17 @@ def test_ties_copies_and_unusable_vectors(spark):
     assert hnsw.nearest_neighbours(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_vectors_with_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    frame = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(120)], "vec_id long, embedding array<double>")
+    clashing = frame.select("*", *[F.lit("x").alias(c) for c in ("ids", "dim", "shard", "kind", "query_id", "score", "rank")])
+    ask = lambda v: sorted(map(tuple, hnsw.nearest_neighbours(v, v.filter("vec_id % 20 = 0"), k=5).collect()))
+    got = ask(clashing)
+    assert got == ask(frame) and len(got) == 30
+
+
 @pytest.fixture(scope="module")
 def encoding():
     with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
