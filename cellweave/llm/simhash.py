@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.exprs import per_text, unused
+from cellweave.llm.exprs import per_text, small_batches, unused
 from cellweave.llm.similar import shingles, similar_components, small, words
 from cellweave.operators.components import star_components
 from cellweave.plans.lineage import cut, fewer_tasks
@@ -134,7 +134,8 @@ def _classes(prints: DataFrame, rows: int) -> DataFrame:
 def _prints(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """doc_id and fp of every row, and the number of rows."""
     of = lambda texts: [_signed(fingerprint(t)) for t in texts]
-    prints = cut(per_text(docs, id_col, text_col, "bigint", of).withColumnRenamed("value", "fp"))
+    with small_batches(docs.sparkSession):
+        prints = cut(per_text(docs, id_col, text_col, "bigint", of).withColumnRenamed("value", "fp"))
     return prints, prints.count()
 
 

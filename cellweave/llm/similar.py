@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.exprs import TEXTS
+from cellweave.llm.exprs import TEXTS, small_batches
 from cellweave.operators.components import star_components
 from cellweave.plans.lineage import cut, fewer_tasks
 
@@ -248,13 +248,15 @@ def _met(rows: DataFrame, bucket: int) -> DataFrame:
         return made, rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        waiting: list[list[np.ndarray]] = []
         for b in batches:
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "sizes", "most")]
-            made, rest = out(cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)], False)
-            yield from made
-        if rest is not None:
-            yield from out(rest, True)[0]
+            waiting.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "sizes", "most")])
+            if sum(len(w[0]) for w in waiting) >= ROWS_PER_TASK:
+                made, rest = out([np.concatenate(x) for x in zip(*waiting, strict=True)], False)
+                waiting = [rest]
+                yield from made
+        if waiting:
+            yield from out([np.concatenate(x) for x in zip(*waiting, strict=True)], True)[0]
 
     return rows.mapInArrow(run, "key long, id long, n int, most int, u long, v long, share int, need int, fits boolean")
 
@@ -357,6 +359,11 @@ def similar_components(docs: DataFrame, mark: Callable[[bytes | None], int], mar
     their shingles, and the least is compared. ``marked_pairs`` makes further candidates u, v from id, first_id
     (smallest id of the same set) and a text's ``mark``; they are checked like all others.
     """
+    with small_batches(docs.sparkSession):
+        return _components(docs, mark, marked_pairs, bucket, max_ranked)
+
+
+def _components(docs: DataFrame, mark: Callable[[bytes | None], int], marked_pairs: Callable[[DataFrame], DataFrame], bucket: int, max_ranked: int) -> DataFrame:
     usable = docs.filter("id is not null")
     ranks, all_ranked = ranking(usable, bucket, max_ranked)
     lists = cut(_lists(usable, ranks, mark))
