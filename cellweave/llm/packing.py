@@ -30,7 +30,7 @@ SLACK = 8
 #: Items one task packs in a round, and how many groups merge into one at least.
 GROUP_ITEMS, FAN_IN = 200_000, 8
 #: Chunks of text in a generation of what a worker remembers; longer chunks are not remembered.
-REMEMBERED, CHUNK_BYTES = 350_000, 48
+REMEMBERED, CHUNK_BYTES = 340_000, 48
 #: Marks that form a token of their own between a letter and a blank.
 MARKS = (b".", b",", b";", b":", b"!", b"?")
 
@@ -82,7 +82,8 @@ class Tokens:
     of the vocabulary's added tokens goes to the library as it is.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, remembered: int | None = None):
+        self.remembered = remembered or REMEMBERED
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -138,7 +139,7 @@ class Tokens:
             ids = here[w] if w in here else known[w] if w in known else old[w]
             for c in forms:
                 here[c] = ids if len(c) == len(w) else ids + marks[c[-1:]]
-        if len(known) >= REMEMBERED:
+        if len(known) >= self.remembered:
             self.old, self.known = known, {}
         self.known.update(here)
         for c in here:
@@ -155,13 +156,13 @@ class Tokens:
         return b"".join([known[c] for c in chunks])
 
 
-_LOADED: dict[int, Tokens] = {}
+_LOADED: dict[tuple[int, int | None], Tokens] = {}
 
 
-def load(vocabulary: str) -> Tokens:
-    key = hash(vocabulary)
+def load(vocabulary: str, remembered: int | None = None) -> Tokens:
+    key = hash(vocabulary), remembered
     if key not in _LOADED:
-        _LOADED[key] = Tokens(vocabulary)
+        _LOADED[key] = Tokens(vocabulary, remembered)
     return _LOADED[key]
 
 
@@ -169,13 +170,13 @@ _PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long, bin lo
 _ROW = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("fill", pa.int64())]
 
 
-def local_bins(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, capacity: int) -> DataFrame:
+def local_bins(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, capacity: int, remembered: int | None = None) -> DataFrame:
     """Every piece with its bin in the first round; bin numbers hold the partition in their upper bits."""
     with open(vocabulary, encoding="utf-8") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())  # under 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = load(file.value)
+        tokens = load(file.value, remembered)
         base = TaskContext.get().partitionId() << 32
         ids, columns = [], [[] for _ in range(4)]
         for b in batches:
@@ -211,15 +212,16 @@ def _merge(open_bins: DataFrame, groups: int, capacity: int, level: int) -> Data
     return open_bins.groupBy(group).applyInArrow(run, "bin long, parent long, shift long, parent_fill long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, slack: int = SLACK) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, slack: int = SLACK, remembered: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece.
 
     A document is its tokens and then id 0; only one longer than ``capacity`` is cut. A null or blank
     text is the closing id alone. Repeated rows and null ids are packed like others; an empty table gives
-    no rows. Other columns are not read. ``vocabulary`` is a path that the driver can open.
+    no rows. Other columns are not read. ``vocabulary`` is a path that the driver can open. ``remembered``: chunks in
+    a generation of what workers remember (``REMEMBERED``), some 400 bytes each for both; fewer take longer.
     """
     with small_batches(docs.sparkSession):
-        pieces = cut(local_bins(docs, vocabulary, id_col, text_col, capacity))
+        pieces = cut(local_bins(docs, vocabulary, id_col, text_col, capacity, remembered))
     placed = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", F.lit(0).alias("shift"))
     underfull = F.col("fill") < capacity - slack
     open_bins = pieces.filter(underfull).groupBy("bin").agg(F.max("fill").alias("fill"))
