@@ -120,7 +120,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     parts = int(min(MAX_RANGES, max(1, count // RANGE_DOCUMENTS)))
     cuts = [] if not count else [first]
     if parts > 1:
-        shares = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts < 200 else F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: i / F.lit(float(parts)))
+        shares = number_array([i / parts for i in range(1, parts)], "double")  # percentile_approx takes constants only
         cuts = sorted({first, *base.agg(F.percentile_approx(key, shares, 10 * parts)).first()[0]})
     bounds = number_array(cuts, "bigint")
     home = last_not_above([key], [bounds], len(cuts)) - 1

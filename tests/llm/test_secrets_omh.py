@@ -161,6 +161,14 @@ def test_many_ranges_give_what_one_does(spark, monkeypatch):
     assert only.near_next == 1 and only.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
 
 
+def test_hundreds_of_ranges_give_what_one_does(spark, monkeypatch):
+    """200 ranges and more, as 400,000 documents have: the shares to cut at must be a constant."""
+    rows = [(7 * i - 900, f"alpha {i} beta {i * i} gamma delta epsilon {i % 7}") for i in range(460)] + [(None, "first")]
+    one = sorted(map(repr, orderminhash.fingerprint_documents(documents(spark, rows)).collect()))
+    monkeypatch.setattr(orderminhash, "RANGE_DOCUMENTS", 2)
+    assert sorted(map(repr, orderminhash.fingerprint_documents(documents(spark, rows)).collect())) == one
+
+
 def test_order_counts(spark):
     words = [f"w{i}" for i in range(60)]
     halves = words[30:] + words[:30]
