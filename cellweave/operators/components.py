@@ -49,8 +49,8 @@ def _state(edges: DataFrame) -> tuple[int, tuple]:
 
 
 def _with_lowest(edges: DataFrame, degrees: DataFrame, rows: int) -> DataFrame:
-    """``edges`` with m of their u, from u, m, n (the edges of u). Rows of hubs, which are few, don't meet in one task."""
-    if rows <= HUB:
+    """``edges`` with m of their u, from u, m, n (the edges of u; materialised). Rows of hubs, which are few, don't meet in one task."""
+    if rows <= HUB or degrees.filter(F.col("n") > HUB).isEmpty():
         return edges.join(degrees.select("u", "m"), "u")
     hubs = F.broadcast(degrees.filter(F.col("n") > HUB).select("u", "m"))  # 16 bytes for every HUB edges at most
     others = edges.join(hubs.select("u"), "u", "left_anti").join(degrees.filter(F.col("n") <= HUB).select("u", "m"), "u")
@@ -67,16 +67,20 @@ def _small_round(pairs: DataFrame, n: int) -> DataFrame:
 
 
 def _round(pairs: DataFrame, n: int) -> DataFrame:
-    """The same for any number of edges, by joins with the lowest neighbour of each node."""
+    """The same for any number of edges, by joins with the lowest neighbour of each node.
+
+    What a step uses more than once is materialised: in one plan the steps would repeat each other's inputs dozens
+    of times, and planning and compiling that takes hundreds of MB of the driver.
+    """
     few = lambda df: fewer_tasks(df, 2 * n)  # noqa: E731  a star has no more rows than edges have ends
     pairs = few(pairs)
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+    lowest = cut(few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))))
     large = few(_with_lowest(both, lowest, 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")).distinct()
-    large = few(large)
-    least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    large = cut(few(large))
+    least = cut(few(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))))
     linked = few(_with_lowest(large, least, 2 * n))
-    return few(linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(few(least).select("u", F.col("m").alias("v")))).distinct()
+    return few(linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))).distinct()
 
 
 def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

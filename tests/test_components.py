@@ -76,3 +76,15 @@ def test_dense_numbers_over_ranges(spark):
 def test_labels_in_arrays():
     node, root = minimum_labels(np.array([5, 9, 1]), np.array([7, 7, 2]))
     assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {5: 5, 7: 5, 9: 5, 1: 1, 2: 1}
+
+
+@pytest.mark.parametrize("hub", [3, 100_000], ids=["hubs", "no hubs"])
+def test_a_join_round_repeats_no_input_in_its_plan(spark, monkeypatch, hub):
+    """Plans of hundreds of nodes took the driver's memory in every round over many edges."""
+    monkeypatch.setattr(components, "HUB", hub)
+    edges = [(i + 1, i - i % 5) for i in range(0, 200, 2)] + [(900 + i, 3) for i in range(20)]
+    pairs = spark.createDataFrame(edges, "u long, v long")
+    step = components._round(pairs, 60_000)
+    assert step._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 8
+    monkeypatch.setattr(components, "FEW_EDGES", 0)
+    assert {r.node: r.component for r in star_components(pairs).collect()} == brute(edges)
