@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm import bpe, hnsw, linededup, orderminhash, packing, quality, secrets, sharding, simhash, toxicity
+from cellweave.llm import bpe, conversations, hnsw, linededup, orderminhash, packing, quality, secrets, sharding, simhash, toxicity, vectorcodes, vectordedup
+from cellweave.llm.oracles import CONVERSATION_SQL, LINE_DEDUP_SQL, VECTOR_CODE_SQL, VECTOR_DEDUP_SQL
 
 
 def tokenizer_path(name: str) -> str:
@@ -62,31 +63,24 @@ def op10_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordedup.near_duplicate_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_summaries(conversations.damaged(_read(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    named = (op1_quality_classifier, op2_simhash_near_dedup, op3_sampled_splitter_sharding, op4_line_window_dedup, op5_secret_scan, op6_order_minhash, op7_hnsw_search, op8_byte_bpe, op9_best_fit_packing, op10_toxicity_severity)
+    named = (op1_quality_classifier, op2_simhash_near_dedup, op3_sampled_splitter_sharding, op4_line_window_dedup, op5_secret_scan, op6_order_minhash, op7_hnsw_search, op8_byte_bpe, op9_best_fit_packing, op10_toxicity_severity, op11_vector_codes, op12_itq_near_dedup, op13_conversation_repair)
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
-#: The windows as whole strings; the order of later occurrences is (doc_id, position), ids being unique.
-LINE_DEDUP_SQL = """
-WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-w AS (
-  SELECT doc_id, p, l[p + 1] || chr(10) || l[p + 2] || chr(10) || l[p + 3] AS body
-  FROM (SELECT doc_id, l, unnest(range(0, greatest(len(l) - 2, 0))) AS p FROM split)
-  WHERE trim(l[p + 1], ' ') <> '' OR trim(l[p + 2], ' ') <> '' OR trim(l[p + 3], ' ') <> ''
-),
-later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY body ORDER BY doc_id, p) AS n FROM w) WHERE n > 1),
-gone AS (SELECT doc_id, list(DISTINCT p + k) AS c FROM later, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id)
-SELECT s.doc_id,
-       CASE WHEN g.c IS NULL THEN s.text
-            ELSE array_to_string([s.l[i + 1] for i in range(0, len(s.l)) if NOT list_contains(g.c, i)], chr(10)) END AS text,
-       CAST(coalesce(len(s.l), 0) AS INTEGER) AS n_lines,
-       CAST(coalesce(len(g.c), 0) AS INTEGER) AS n_removed
-FROM split s LEFT JOIN gone g USING (doc_id)
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_window_dedup": LINE_DEDUP_SQL}
+    return {"op4_line_window_dedup": LINE_DEDUP_SQL, "op11_vector_codes": VECTOR_CODE_SQL, "op12_itq_near_dedup": VECTOR_DEDUP_SQL, "op13_conversation_repair": CONVERSATION_SQL}
