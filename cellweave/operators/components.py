@@ -1,15 +1,18 @@
 """Connected components of an edge table.
 
-Two strategies give the same answer (each node's component is named by the smallest node in it):
-``driver`` collects the edges and is used only below a checked number of edges; ``stars`` alternates
-large-star and small-star rounds (Kiveris et al., SoCC 2014), each of which is joins and minima over
-the edge table, checkpointed, so it never gathers a component in one place.
+Every strategy names each node's component by the smallest node in it. ``driver`` collects the edges, up to a checked
+number. ``stars`` first reduces the edges of each task to a spanning forest, which one more task joins if what is left is
+few; otherwise large-star and small-star rounds follow (Kiveris et al., SoCC 2014), each of which is joins and minima
+over the edge table, reduced and checkpointed, so a component is never gathered in one place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.plans.lineage import cut, fewer_tasks
@@ -18,8 +21,10 @@ from cellweave.plans.lineage import cut, fewer_tasks
 MAX_DRIVER_EDGES = 1_000_000
 #: Nodes with more edges than this are joined apart from the others.
 HUB = 100_000
-#: Up to this many edges (24 bytes each) a round sorts the edges of a node in one task, in fewer steps.
+#: Up to this many edges of forests are joined in one task.
 FEW_EDGES = 500_000
+#: Edges (16 bytes each) that a task gathers before it reduces them to a forest.
+FOREST_EDGES = 1_000_000
 
 
 def minimum_labels(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,17 +62,35 @@ def _with_lowest(edges: DataFrame, degrees: DataFrame, rows: int) -> DataFrame:
     return others.unionByName(edges.join(hubs, "u").select(*others.columns))
 
 
-def _small_round(pairs: DataFrame, n: int) -> DataFrame:
-    """A large-star and a small-star step by windows, which spill but keep all edges of a node together."""
-    lowest = F.min("v").over(Window.partitionBy("u"))
-    both = fewer_tasks(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * n)
-    large = both.select("u", "v", F.least(lowest, "u").alias("m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-    return large.select("u", "v", lowest.alias("m")).select(F.inline(ends)).filter("u <> v").distinct()
+def spanning_forest(pairs: DataFrame) -> DataFrame:
+    """u > v: for the edges (bigint u, v) of each task, every node with the smallest of its component among them.
+
+    A task holds a bounded number of edges; where its forest alone has more, it is sent on and a new one begun.
+    """
+
+    def reduced(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        node, root = minimum_labels(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        return node[node != root], root[node != root]
+
+    def batch(forest: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in forest], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            parts.append(tuple(b.column(c).to_numpy() for c in ("u", "v")))
+            if sum(len(p[0]) for p in parts) >= FOREST_EDGES:
+                parts = [reduced(parts)]
+                if 2 * len(parts[0][0]) >= FOREST_EDGES:
+                    yield batch(parts.pop())
+        if parts:
+            yield batch(reduced(parts))
+
+    return pairs.select("u", "v").mapInArrow(run, "u long, v long")
 
 
 def _round(pairs: DataFrame, n: int) -> DataFrame:
-    """The same for any number of edges, by joins with the lowest neighbour of each node.
+    """A large-star and a small-star step, by joins with the lowest neighbour of each node.
 
     What a step uses more than once is materialised: in one plan the steps would repeat each other's inputs dozens
     of times, and planning and compiling that takes hundreds of MB of the driver.
@@ -85,19 +108,20 @@ def _round(pairs: DataFrame, n: int) -> DataFrame:
 
 def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges``: bigint columns u, v. Returns node, component; no driver-side data, checkpointed rounds."""
-    pairs = edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    pairs = cut(pairs)
+    pairs = edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    pairs = cut(spanning_forest(pairs))
     n, before = _state(pairs)
-    for _ in range(max_rounds if n else 0):
-        step = _small_round if n <= FEW_EDGES else _round
-        pairs = cut(fewer_tasks(step(pairs, n), 2 * n))
+    for _ in range(max_rounds):
+        if n <= FEW_EDGES:
+            pairs = cut(spanning_forest(pairs.coalesce(1)))  # a component of one forest is one star
+            break
+        pairs = cut(spanning_forest(fewer_tasks(_round(pairs, n), 2 * n)))
         n, after = _state(pairs)
         if after == before:
             break
         before = after
     else:
-        if n:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
@@ -105,25 +129,16 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def connected_components(edges: DataFrame, strategy: str = "auto", max_driver_edges: int = MAX_DRIVER_EDGES) -> DataFrame:
     """Component of every node in ``edges`` (bigint u, v): columns node, component (the smallest node).
 
-    ``auto`` counts the edges (at most ``max_driver_edges`` + 1 of them) before it chooses.
-    Empty input gives an empty result; null ends and self-loops are ignored.
+    ``auto`` and ``driver`` count the edges, and collect them if they are ``max_driver_edges`` at most; more go through
+    ``stars``. Empty input gives an empty result; null ends and self-loops are ignored.
     """
     if strategy not in ("auto", "driver", "stars"):
         raise ValueError(f"strategy must be auto, driver or stars, not {strategy!r}")
     if strategy == "stars":
         return star_components(edges)
-    kept = edges.filter("u is not null and v is not null").select(F.col("u").cast("long"), F.col("v").cast("long"))
-    if strategy == "auto":
-        kept = kept.persist()
-        if kept.limit(max_driver_edges + 1).count() > max_driver_edges:
-            found = star_components(kept)  # its rounds are checkpointed, so the edges are read no more
-            kept.unpersist()
-            return found
+    kept = cut(edges.filter("u is not null and v is not null").select(F.col("u").cast("long"), F.col("v").cast("long")))
+    if kept.count() > max_driver_edges:
+        return star_components(kept)
     table = kept.toArrow()
     node, component = minimum_labels(table["u"].to_numpy(), table["v"].to_numpy())
-    spark = edges.sparkSession
-    if strategy == "auto":
-        kept.unpersist()
-    import pyarrow as pa
-
-    return spark.createDataFrame(pa.table({"node": pa.array(node, pa.int64()), "component": pa.array(component, pa.int64())}))
+    return edges.sparkSession.createDataFrame(pa.table({"node": pa.array(node, pa.int64()), "component": pa.array(component, pa.int64())}))

@@ -6,23 +6,24 @@ from typing import Union
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.operators import core, grid, labels
+from cellweave.operators import core, grid, labels, tile
 from cellweave.params import Params
-from cellweave.plans import local
+from cellweave.plans import tiles
 from cellweave.plans.lineage import cut
-from cellweave.sources.points import from_numpy
+from cellweave.sources.points import check_array, from_numpy
 
 ArrayLike2D = Union[DataFrame, pd.DataFrame, np.ndarray]
+#: Arrays of at most so many points, which the driver holds anyway, are labelled there.
+ARRAY_POINTS = 200_000
 
 
 class Stages:
     """The stages of one call, each a DataFrame made when first asked for.
 
-    ``marked`` and ``clusters`` are checkpointed: components are found eagerly, so the call is
+    What several stages read is checkpointed: components are found eagerly, so the call is
     not fully lazy, and what follows does not repeat what came before.
     """
 
@@ -38,7 +39,7 @@ class Stages:
 
     @property
     def cells(self) -> DataFrame:
-        return self._once("cells", lambda: grid.cell_table(self.points))
+        return self._once("cells", lambda: grid.cell_table(self.points), keep=True)
 
     @property
     def marked(self) -> DataFrame:
@@ -54,7 +55,7 @@ class Stages:
 
     @property
     def components(self) -> DataFrame:
-        return self._once("components", lambda: labels.cell_components(self.cores, self.edges, self.strategy))
+        return self._once("components", lambda: labels.contracted_components(self.marked, self.cores, self.params, self.strategy))
 
     @property
     def clusters(self) -> DataFrame:
@@ -82,18 +83,21 @@ def prepare(df: DataFrame, eps, min_samples, id: str = "id", x: str = "x", y: st
     return Stages(points, params, numbering, strategy)
 
 
-def _labelled_here(points: DataFrame, params: Params, numbering: str, unique: bool) -> DataFrame | None:
-    """id, label of a small point set, labelled on the driver; None if it has too many points or pairs."""
-    table = points.limit(local.MAX_POINTS + 1).toArrow()
-    if table.num_rows > local.MAX_POINTS:
-        return None
-    local.check_arrays(table, params, unique)
-    ids = table["id"].to_numpy()
-    try:
-        found = local.cluster(ids, table["x"].to_numpy(), table["y"].to_numpy(), params, numbering)
-    except local.TooManyPairs:
-        return None
-    return points.sparkSession.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "label": pa.array(found, pa.int32())}))
+STRATEGIES = ("auto", "tiles", "driver", "stars")
+
+
+def _labels(points: DataFrame, params: Params, numbering: str, strategy: str, unique: bool) -> DataFrame:
+    """id, x, y, label of every point: by tiles, or by the plan of joins where one cell is too much for a task."""
+    if strategy in ("auto", "tiles"):
+        n = grid.check_points(points, params, unique=False)
+        try:
+            return tiles.labels_by_tiles(points, params, n, numbering, "auto" if strategy == "auto" else "stars", unique)
+        except tiles.TooDense:
+            strategy = "stars"
+    grid.check_points(points, params, unique)
+    stages = Stages(points, params, numbering, strategy)
+    found = stages.labels.select(F.col("id").alias("of"), "label")
+    return points.join(found, F.col("id") == F.col("of"), "left").select("id", "x", "y", F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
 
 
 def dbscan2d(X: ArrayLike2D, eps, min_samples, *, id: str = "id", x: str = "x", y: str = "y", label: str = "label", numbering: str = "cell", strategy: str = "auto", check_unique: bool = True) -> ArrayLike2D:
@@ -103,41 +107,37 @@ def dbscan2d(X: ArrayLike2D, eps, min_samples, *, id: str = "id", x: str = "x",
     unique. An (N, 2) float32 array gives an int32 array in the same order. ``min_samples`` counts the
     point itself. Labels do not depend on row order or partitioning.
 
-    ``strategy`` "auto" labels small point sets (``local.MAX_POINTS``, and a bound of pairs) on the driver and others by the
-    distributed plan; "driver" and "stars" always take the plan and say how its components are found.
+    ``strategy`` "auto" deals points to tiles (``plans.tiles``), and finds components of the cells at their rims on the driver
+    if these are few; "tiles" finds those in rounds, whatever their number. "stars" and "driver" take the plan of joins,
+    with components in rounds and, for a bounded number of edges, on the driver. Arrays that fit a tile are labelled where they are.
     """
+    params = Params.of(eps, min_samples)
+    if numbering not in labels.NUMBERINGS:
+        raise ValueError(f"numbering must be one of {labels.NUMBERINGS}, not {numbering!r}")
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
     if isinstance(X, np.ndarray):
         if X.ndim != 2 or X.shape[1] != 2:
             raise ValueError(f"X must have shape (N, 2), got {X.shape}")
         if X.dtype != np.float32:
             raise ValueError(f"X must be float32, got {X.dtype}")
-        Params.of(eps, min_samples)
-        if numbering not in labels.NUMBERINGS:
-            raise ValueError(f"numbering must be one of {labels.NUMBERINGS}, not {numbering!r}")
         if not len(X):
             return np.zeros(0, np.int32)
-        if strategy == "auto" and len(X) <= local.MAX_POINTS:
-            params, ids = Params.of(eps, min_samples), np.arange(len(X))
-            local.check_arrays(pa.table({"id": ids, "x": X[:, 0], "y": X[:, 1]}), params, unique=False)
-            try:
-                return local.cluster(ids, X[:, 0], X[:, 1], params, numbering)
-            except local.TooManyPairs:
-                pass
+        if strategy == "auto" and len(X) <= ARRAY_POINTS:
+            check_array(X, params)
+            return tile.cluster(np.arange(len(X)), X[:, 0], X[:, 1], params, numbering)
         table = dbscan2d(from_numpy(_session(), X), eps, min_samples, numbering=numbering, strategy=strategy, check_unique=False).select("id", "label").toArrow()
         out = np.empty(len(X), np.int32)
         out[table["id"].to_numpy()] = table["label"].to_numpy()
         return out
+    found = _labels(grid.point_table(X, id, x, y), params, numbering, strategy, check_unique)
+    own = {id: F.col("id").cast(X.schema[id].dataType), x: F.col("x"), y: F.col("y"), label: F.col("label")}
+    kept = [c for c in X.columns if c != label]
+    if set(kept) <= set(own):  # the points are all there is
+        return found.select(*[own[c].alias(c) for c in (*kept, label)])
     key, value = "__cellweave_id", "__cellweave_label"
-    params, here = Params.of(eps, min_samples), None
-    if strategy == "auto" and numbering in labels.NUMBERINGS:
-        here = _labelled_here(grid.point_table(X, id, x, y), params, numbering, check_unique)
-    if here is None:
-        here = prepare(X, eps, min_samples, id, x, y, numbering, strategy, check_unique).labels
-    else:
-        here = F.broadcast(here)  # local.MAX_POINTS rows at most
-    found = here.select(F.col("id").alias(key), F.col("label").alias(value))
-    kept = [F.col(f"`{c}`") for c in X.columns if c != label]
-    return X.join(found, F.col(id).cast("long") == F.col(key), "left").select(*kept, F.coalesce(value, F.lit(-1)).cast("int").alias(label))
+    found = found.select(F.col("id").alias(key), F.col("label").alias(value))
+    return X.join(found, F.col(id).cast("long") == F.col(key), "left").select(*[F.col(f"`{c}`") for c in kept], F.coalesce(value, F.lit(-1)).cast("int").alias(label))
 
 
 def _session() -> SparkSession:

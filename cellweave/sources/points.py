@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.params import Params
+
 
 def from_numpy(spark: SparkSession, X: np.ndarray) -> DataFrame:
     """id (the row's position), x, y from an (N, 2) array; 32-bit floats stay such through Arrow."""
@@ -16,6 +18,14 @@ def from_numpy(spark: SparkSession, X: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(np.arange(len(X)), pa.int64()), "x": pa.array(X[:, 0], kind), "y": pa.array(X[:, 1], kind)}))
 
 
+def check_array(X: np.ndarray, params: Params) -> None:
+    """The tests that ``grid.check_points`` makes of a table's coordinates."""
+    if bad := int((~np.isfinite(X).all(axis=1)).sum()):
+        raise ValueError(f"{bad} points have null or non-finite coordinates")
+    if len(X) and np.abs(np.floor(X * np.float32(params.inv_r)).astype(float)).max() >= (1 << 31) - 2:
+        raise ValueError("coordinates are too large for cells of this eps")
+
+
 def from_pandas(spark: SparkSession, frame: pd.DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return from_numpy(spark, frame[[x, y]].to_numpy(dtype=np.float32))
 

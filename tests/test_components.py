@@ -88,3 +88,22 @@ def test_a_join_round_repeats_no_input_in_its_plan(spark, monkeypatch, hub):
     assert step._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 8
     monkeypatch.setattr(components, "FEW_EDGES", 0)
     assert {r.node: r.component for r in star_components(pairs).collect()} == brute(edges)
+
+
+def test_forests_of_few_edges_need_no_rounds(spark, monkeypatch):
+    """Each task's edges become a forest; a task that holds few at a time sends several."""
+    rng = np.random.default_rng(8)
+    edges = [tuple(map(int, e)) for e in rng.integers(0, 400, (3000, 2)) if e[0] != e[1]]
+    pairs = spark.createDataFrame([(max(e), min(e)) for e in edges], "u long, v long").repartition(4)
+    forest = components.spanning_forest(pairs)
+    assert forest.count() <= 4 * 400 and {r.node: r.component for r in star_components(forest).collect()} == brute(edges)
+    calls = []
+    monkeypatch.setattr(components, "_round", lambda *a: calls.append(1))
+    assert {r.node: r.component for r in star_components(pairs).collect()} == brute(edges) and not calls
+
+
+def test_driver_takes_a_bounded_number_of_edges(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(components, "star_components", lambda edges: calls.append(1) or star_components(edges))
+    frame = spark.createDataFrame([(i, i + 1) for i in range(30)], "u long, v long")
+    assert {r.component for r in connected_components(frame, "driver", max_driver_edges=3).collect()} == {0} and calls

@@ -2,12 +2,15 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 import cellweave
 from cellweave import DBSCAN, dbscan2d
+from cellweave.operators import core as core_steps
 from cellweave.operators import labels as label_steps
 from cellweave.params import Params
-from cellweave.plans import dbscan as dbscan_plan
-from cellweave.plans import diagnostics, lineage, local
+from cellweave.operators import tile
+from cellweave.plans import diagnostics, lineage, tiles
 from cellweave.plans.dbscan import prepare
 from cellweave.sources.points import from_array_column, from_numpy
 from tests.brute import brute_labels
@@ -71,7 +74,7 @@ def _session(spark):
     return spark
 
 
-@pytest.mark.parametrize("strategy", ["auto", "driver"])
+@pytest.mark.parametrize("strategy", ["auto", "tiles", "driver"])
 @pytest.mark.parametrize("name", CASES)
 def test_labels_equal_brute_force(name, strategy):
     X, eps, ms = CASES[name]
@@ -117,24 +120,104 @@ def test_nearest_core_tie_goes_to_the_smaller_id(spark):
         assert got == dict(zip(ids, want.tolist(), strict=True))
 
 
-def test_dense_or_large_sets_are_left_to_the_plan(spark, monkeypatch):
-    X, eps, ms = CASES["dense overlap"]
+def small_tiles(monkeypatch, points=60, narrowest=1):
+    for name, value in (("POINTS", points), ("LEAST_POINTS", points), ("NARROWEST", narrowest)):
+        monkeypatch.setattr(tiles, name, value)
+
+
+@pytest.mark.parametrize("block", [40, 1_000_000])
+@pytest.mark.parametrize("name", CASES)
+def test_tiles_of_few_cells_have_the_labels_of_brute_force(spark, monkeypatch, name, block):
+    """Clusters over many tiles, whose cells are no more than a few; pairs of points are compared a few at a time."""
+    small_tiles(monkeypatch)
+    monkeypatch.setattr(tile, "BLOCK", block)
+    X, eps, ms = CASES[name]
     want = brute_labels(X, eps, ms).tolist()
     frame = from_numpy(spark, X)
-    ids = np.arange(len(X))
-    with pytest.raises(local.TooManyPairs):
-        local.cluster(ids, X[:, 0], X[:, 1], Params.of(eps, ms), "cell", max_pairs=1000)
+    for strategy, numbering in (("auto", "cell"), ("tiles", "first_core")):
+        want = brute_labels(X, eps, ms, numbering=numbering).tolist()
+        got = {r.id: r.label for r in dbscan2d(frame, eps, ms, strategy=strategy, numbering=numbering).collect()}
+        assert [got[i] for i in range(len(X))] == want
+
+
+def test_tiles_divide_the_plane():
+    rng = np.random.default_rng(1)
+    kx, ky = np.concatenate([rng.integers(-500, 500, 4000), np.full(4000, 7)]), np.concatenate([rng.integers(-90, 90, 4000), np.full(4000, -3)])
+    made = tiles.Tiles.of(kx, ky, 40, 1)
+    row, place = made.places(kx, ky, 0)
+    assert sorted(row.tolist()) == list(range(len(kx))) and len(made.where) > 20
+    for r, p in zip(row, place, strict=True):
+        x0, x1, y0, y1 = made.where[p]
+        assert x0 <= kx[r] <= x1 and y0 <= ky[r] <= y1
+    row, place = made.places(kx, ky, 4)
+    near = {(r, p) for r, p in zip(row.tolist(), place.tolist(), strict=True)}
+    assert len(near) == len(row)
+    for p, (x0, x1, y0, y1) in enumerate(made.where):
+        inside = np.flatnonzero((kx >= x0 - 4) & (kx <= x1 + 4) & (ky >= y0 - 4) & (ky <= y1 + 4))
+        assert {r for r, q in near if q == p} == set(inside.tolist())
+    with pytest.raises(tiles.TooDense):
+        tiles.Tiles.of(kx, ky, 40, 1000)
+
+
+def test_a_cell_of_too_many_points_is_left_to_the_plan_of_joins(spark, monkeypatch):
+    X, eps, ms = CASES["dense overlap"]
+    small_tiles(monkeypatch)
+    monkeypatch.setattr(tiles, "MOST_POINTS", 30)
+    got = {r.id: r.label for r in dbscan2d(from_numpy(spark, X), eps, ms).collect()}
+    assert [got[i] for i in range(len(X))] == brute_labels(X, eps, ms).tolist()
+
+
+def test_tiles_take_one_shuffle_of_the_points(spark):
+    points = from_numpy(spark, CASES["dense overlap"][0])
+    params = Params.of(0.35, 5)
+    plan = tiles.solved(points, params, tiles.tiles_for(points, params, 1200))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_reach_of_two_sets_of_points(monkeypatch):
+    monkeypatch.setattr(tile, "BLOCK", 50)
+    rng = np.random.default_rng(2)
+    for gap in (0.5, 0.97, 1.0, 1.05, 3.0):
+        for n, m in ((1, 900), (700, 600), (300, 1)):
+            ax, ay = (-rng.random(n) * 0.7).astype(f32), rng.random(n).astype(f32)
+            bx, by = (gap + rng.random(m) * 0.7).astype(f32), rng.random(m).astype(f32)
+            dx, dy = bx - ax[:, None], by - ay[:, None]
+            assert tile.within_reach(ax, ay, bx, by, f32(1)) == bool((dx * dx + dy * dy <= f32(1)).any())
+    same = np.zeros(400, f32)
+    assert not tile.within_reach(same, same, same + f32(2), same, f32(1)) and tile.within_reach(same, same, same + f32(1), same, f32(1))
+
+
+def test_edges_between_cells_that_are_connected_are_not_looked_at(spark, monkeypatch):
+    """Where sure edges connect all, no points meet; otherwise pairs meet in steps, and labels stay the same."""
     calls = []
-    monkeypatch.setattr(dbscan_plan, "prepare", lambda *a, **k: calls.append(1) or prepare(*a, **k))
-    for name, value in (("MAX_POINTS", 100), ("BLOCK", 1)):
-        with monkeypatch.context() as m:
-            m.setattr(local, name, value)
-            got = {r.id: r.label for r in dbscan2d(frame, eps, ms).collect()}
-            assert [got[i] for i in ids] == want
-    assert len(calls) == 2
-    with monkeypatch.context() as m:
-        m.setattr(local, "BLOCK", 3000)
-        assert dbscan2d(X, eps, ms).tolist() == want
+    meeting, by_parts = label_steps._meeting, label_steps._by_parts
+    monkeypatch.setattr(label_steps, "_meeting", lambda pairs, *a: calls.append(pairs.count()) or meeting(pairs, *a))
+    X = np.array([(i / 20, j / 20) for i in range(40) for j in range(40)], f32)
+    stages = prepare(from_numpy(spark, X), 0.5, 5)
+    assert stages.components.select("root").distinct().count() == 1 and calls == []
+    monkeypatch.setattr(label_steps, "ONE_STEP", 0)
+    monkeypatch.setattr(label_steps, "_by_parts", lambda *a: calls.append("parts") or by_parts(*a))
+    rng = np.random.default_rng(5)
+    strips = [np.c_[k * 0.36 + 0.03 * np.sin(9 * t), t] for k, t in ((k, rng.random(300 + 200 * k) * 2) for k in range(6))]
+    X = np.vstack(strips).astype(f32)  # at most eps apart where their waves meet
+    stages = prepare(from_numpy(spark, X), 0.32, 3)
+    want = sorted(map(tuple, label_steps.cell_components(stages.cores, stages.edges).collect()))
+    calls.clear()
+    monkeypatch.setattr(label_steps, "DENSE_PAIRS", 20_000)
+    found = label_steps.contracted_components(stages.marked, stages.cores, stages.params, "auto", (6_000, 20_000))
+    assert sorted(map(tuple, found.collect())) == want and calls
+
+
+def test_only_undecided_points_meet_points(spark):
+    X, eps, ms = CASES["dense overlap"]
+    stages = prepare(from_numpy(spark, X), eps, ms)
+    bounds = core_steps.bounded_counts(stages.points, stages.cells, stages.params)
+    open_ = bounds.filter((F.col("sure") < ms) & (F.col("most") >= ms)).count()
+    sparse = stages.points.join(stages.cells.filter(F.col("n") < ms), "cell").count()
+    counts = {r.id: r.n_neighbours for r in core_steps.neighbour_counts(stages.points, stages.cells, stages.params).collect()}
+    assert all(r.sure <= counts[r.id] <= r.most for r in bounds.collect()) and 0 < open_ < sparse
+    reached = {r.id for r in core_steps.reaching_points(stages.points, stages.cells, stages.params).collect()}
+    assert reached == {i for i, k in counts.items() if k >= ms}
 
 
 def test_first_core_numbering():
@@ -148,7 +231,7 @@ def test_first_core_numbering():
 def test_labels_do_not_depend_on_order_partitions_or_strategy(spark):
     X, eps, ms = CASES["dense overlap"]
     want = brute_labels(X, eps, ms)
-    for partitions, strategy in ((1, "driver"), (7, "stars")):
+    for partitions, strategy in ((1, "driver"), (7, "stars"), (5, "auto"), (3, "tiles")):
         shuffled = from_numpy(spark, X).orderBy("x").repartition(partitions)
         spark.conf.set("spark.sql.shuffle.partitions", str(2 * partitions))
         try:
@@ -258,6 +341,8 @@ def test_two_dense_cells_face_each_other(spark, monkeypatch, gap):
     monkeypatch.setattr(label_steps, "DENSE_PAIRS", 1_000)
     dense = label_steps.cell_edges(stages.marked, stages.cores, stages.params, 1_000)
     plain = label_steps.cell_edges(stages.marked, stages.cores, stages.params, 10**12)
+    deep = label_steps.contracted_components(stages.marked, stages.cores, stages.params, "auto", (10, 1_000))
+    assert deep.select("root").distinct().count() == label_steps.cell_components(stages.cores, plain).select("root").distinct().count()
     key = lambda frame: sorted((min(r.u, r.v), max(r.u, r.v)) for r in frame.distinct().collect())
     assert key(dense) == key(plain)
 
@@ -301,5 +386,5 @@ def test_fifty_thousand_points_give_the_same_labels_every_time(X, clusters, nois
     here = dbscan2d(X, 0.5, 5)
     assert (here.max() + 1, (here == -1).sum()) == (clusters, noise)
     assert np.array_equal(here, dbscan2d(X, 0.5, 5))
-    for strategy in ("driver", "stars"):
+    for strategy in ("driver", "stars", "tiles"):
         assert np.array_equal(here, dbscan2d(X, 0.5, 5, strategy=strategy))
