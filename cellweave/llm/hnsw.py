@@ -203,7 +203,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, ef:
     placed = nodes.select(dim.alias("dim"), F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("query_id"), "embedding", "ids")
     asked = usable_vectors(queries).distinct().select(dim.alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("vec_id").alias("query_id"), "embedding", F.lit(None).cast("array<long>").alias("ids"))
     # a shard's vectors come first and are bounded; its queries stream past the graph in batches
-    stream = placed.unionByName(asked).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "kind", "query_id")
+    # and a shard has a task of its own, where all vectors are of one length
+    task = F.pmod(F.col("shard") + F.hash("dim"), F.lit(shards)).cast("int")
+    stream = placed.unionByName(asked).repartitionById(shards, task).sortWithinPartitions("dim", "shard", "kind", "query_id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, vecs, ids, graph = None, [], [], None

@@ -14,6 +14,8 @@ from cellweave.llm.exprs import let, unused
 from cellweave.plans.lineage import cut
 
 WINDOW = 3
+#: Positions of repeated windows (4 bytes each) that a task holds while texts stream past.
+HASHED_POSITIONS = 8_000_000
 
 
 def _windows(lines: Column) -> Column:
@@ -59,9 +61,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines). A text may become empty, when all its lines occur before it. An empty table stays empty.
     """
     key, digest, starts = (unused(docs, x) for x in ("__id", "__digest", "__starts"))
-    later = later_windows(docs, id_col, text_col).select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest), F.col("starts").alias(starts))
+    later = cut(later_windows(docs, id_col, text_col).select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest), F.col("starts").alias(starts)))
+    held, largest = later.agg(F.coalesce(F.sum(F.size(starts)), F.lit(0)) + 16 * F.count(F.lit(1)), F.coalesce(F.max(F.size(starts)), F.lit(0))).first()
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = held / tasks + largest <= HASHED_POSITIONS  # otherwise the join sorts, and may spill
     same = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text_col)) == F.col(digest))
-    joined = docs.join(later.hint("shuffle_hash"), same, "left")
+    joined = docs.join(later.hint("shuffle_hash") if few else later, same, "left")
     lines = F.split(F.col(text_col), "\n")
     made = F.when(F.col(starts).isNull(), F.struct(F.col(text_col).alias("text"), F.lit(0).alias("gone"))).otherwise(
         let(lines, lambda x: let(_without(x, F.col(starts)), lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(x) - F.size(kept)).alias("gone"))))

@@ -203,7 +203,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAI
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with their columns."""
+    """The rows of ``docs`` that the classifier does not reject, with their columns.
+
+    Null texts count as empty; repeated rows stay or go together, whatever their ids, null ones too; an empty table stays
+    empty. Other columns may be null and are passed through.
+    """
     model = fit(docs, labels, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -192,13 +192,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """The documents that name their group (smallest id) of ``similar_groups``; of rows that repeat an id, one.
+    """The documents that name their group (smallest id) of ``similar_groups``; of rows that repeat id and text, one.
 
-    A row with a null id cannot name a group and is kept as it is.
+    Different texts of one id stay or go together. A row with a null id cannot name a group and is kept as it is.
     """
     gone_id = unused(docs, "__gone")
     gone = cut(_similar(docs, id_col, text_col, bucket).filter("node <> component").select(F.col("node").alias(gone_id)).distinct())
     kept = docs.join(small(gone, gone.count()), F.col(id_col) == F.col(gone_id), "left_anti")
     if docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty():
         return kept
-    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
+    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(kept.filter(F.col(id_col).isNull()))

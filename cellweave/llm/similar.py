@@ -313,13 +313,42 @@ def _settled(comps: DataFrame | None, unsure: DataFrame, texts: DataFrame, once:
             return comps, left
 
 
+def _promising(pairs: DataFrame, rows: int, lists: DataFrame) -> DataFrame:
+    """The pairs u, v (so many rows) that share enough of what they list (id, keys, n) to be similar.
+
+    What two texts have in common is in both lists, or outside the list that ends at the rarer shingle: no more than what is
+    outside the shorter list of the two. Where that and the shared listed shingles are less than 4/9 of both sizes, the
+    texts needn't be compared. Only lists, a fifth of the shingles, are sent.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("a"), b.column("b"), strict=True):
+                x, y = (np.frombuffer(k.as_py(), np.int64) for k in (x, y))
+                n, m = int(x[0]), int(y[0])
+                outside = max(n - len(x) + 1, m - len(y) + 1)
+                need = -(-4 * (n + m) // 9) - outside
+                keep.append(5 * min(n, m) >= 4 * max(n, m) and (need <= 0 or len(np.intersect1d(x[1:], y[1:], assume_unique=True)) >= need))
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [np.concatenate([[n], k.values.to_numpy()]).astype(np.int64).tobytes() for n, k in zip(b.column("n").to_pylist(), b.column("keys"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(each, pa.binary())], ["id", "text"])
+
+    sent = lists.select("id", "n", "keys").mapInArrow(packed, "id long, text binary")
+    both = _with_text(_with_text(pairs, rows, sent, "u", "a"), rows, sent, "v", "b")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
 def _ends(u: Column, v: Column) -> list[Column]:
     return [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
 
 
-def _grown(comps: DataFrame | None, left: DataFrame | None, large: DataFrame, texts: DataFrame) -> DataFrame | None:
+def _grown(comps: DataFrame | None, left: DataFrame | None, large: DataFrame, texts: DataFrame, lists: DataFrame | None) -> DataFrame | None:
     """node, component over ``comps`` (None: no links), the pairs ``left`` that hold, and all that holds within large
-    lists (key, id, n, most).
+    lists (key, id, n, most). Pairs of these are first held against the whole ``lists`` (None: an id may have several).
 
     In a large list, whatever is outside its most frequent component is compared with the members of other
     components that sizes and places allow. Where that is very many pairs to look at, a round takes a share
@@ -343,6 +372,9 @@ def _grown(comps: DataFrame | None, left: DataFrame | None, large: DataFrame, te
         each = outside.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).drop("blocks")
         fits = (F.col("component") != F.col("other")) & (F.col("n") <= F.col("x_most")) & (F.col("xn") <= F.col("most"))
         pairs = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(each, ["key", "block"]).filter(fits).select(*_ends(F.col("id"), F.col("x"))).distinct()
+        pairs = cut(pairs)
+        if lists is not None:
+            pairs = cut(_promising(pairs, pairs.count(), lists))
         comps, left = _settled(comps, cut(pairs if left is None else pairs.unionByName(left).distinct()), texts)
         if share >= 1:
             return comps
@@ -398,7 +430,7 @@ def _components(docs: DataFrame, mark: Callable[[bytes | None], int], marked_pai
     comps = None
     if n:
         texts = cut(usable.join(small(ids, n), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-        comps = _grown(*_settled(None, unsure, texts, once=True), large, texts)
+        comps = _grown(*_settled(None, unsure, texts, once=True), large, texts, None if repeated else own)
     if comps is None:
         comps = docs.sparkSession.createDataFrame([], "node long, component long")
     if repeated:  # an id may stand for several sets

@@ -2,7 +2,7 @@
 import pytest
 
 import corpus_pipeline
-from cellweave.llm import quality, queries
+from cellweave.llm import quality, queries, similar
 from tests.llm.helpers import AWKWARD, documents
 from tests.llm.test_secrets_omh import plain_spans
 from tests.llm.test_simhash import brute_groups, plain_fingerprint
@@ -28,6 +28,16 @@ def test_stages_one_by_one(spark, sf_dir):
     for (i, _), g in zip(prints, brute_groups(prints), strict=True):
         groups.setdefault(g, []).append(i)
     assert all(len(kept & set(g)) <= 1 for g in groups.values())
+    texts = {r.doc_id: r.text.encode() for r in lines.select("doc_id", "text").collect()}
+    shingled = {i: set(similar.shingles(similar.words(t))) for i, t in texts.items()}
+
+    def alike(i, j):
+        a, b = shingled[i], shingled[j]
+        return 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and (9 * len(a & b) >= 4 * (len(a) + len(b)))
+
+    # nothing similar to each other is kept, and what went was connected to something smaller
+    assert not any(alike(i, j) for i in kept for j in kept if i < j)
+    assert all(any(alike(i, j) for j in texts if j != i) for i in texts.keys() - kept)
     assert near.columns == columns and len(kept) == near.count()
 
     masked = named["secret scans"](spark, near, sf_dir).cache()
@@ -51,6 +61,8 @@ def test_run_applies_all_stages(spark, sf_dir):
 @pytest.mark.parametrize("rows", [[], AWKWARD, [(None, None)]], ids=["empty", "awkward", "nulls"])
 def test_stages_take_awkward_tables(spark, sf_dir, rows):
     docs = documents(spark, rows)
+    judged = corpus_pipeline.STAGES[0][1](spark, docs, sf_dir)
+    assert judged.columns == docs.columns and judged.count() <= len(rows)
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns, name

@@ -245,3 +245,24 @@ def test_equal_fingerprints_link_only_what_is_similar(spark):
     assert len({plain_fingerprint(t) for _, t in rows}) == 1
     assert len({r.component_id for r in simhash.near_duplicate_groups(docs).collect()}) == 1
     assert simhash.keep_one_of_each_group(docs).count() == 5
+
+
+def test_templated_texts_are_told_apart_by_their_lists(spark, monkeypatch):
+    """Pages of 30 slots of three phrases: every list is large and nothing is similar, but for two planted pairs."""
+    rng = random.Random(3)
+    slots = [[" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(8)) for _ in range(3)] for _ in range(30)]
+    rows = [(i, [rng.choice(s) for s in slots]) for i in range(400)]
+    for i, of in ((400, 3), (401, 7)):
+        rows.append((i, [*rows[of][1][:-1], f"another end {i}"]))
+    checked = []
+    compared = similar._checked
+    monkeypatch.setattr(similar, "_checked", lambda pairs, n, texts: checked.append(n) or compared(pairs, n, texts))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    assert got == {i: {400: 3, 401: 7}.get(i, i) for i in range(402)}
+    assert sum(checked) < 6_000 < 402 * 401 // 2 // 10
+
+
+def test_different_texts_of_one_id_stay(spark):
+    rows = [(1, "one text of its own here"), (1, "something else altogether now"), (1, "one text of its own here"), (2, "one text of its own here")]
+    kept = simhash.keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted(rows[:2])
