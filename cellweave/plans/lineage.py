@@ -35,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of a store that Spark writes to; none there is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fewer_tasks(df: DataFrame, rows: int, rows_per_task: int = 100_000) -> DataFrame:
     """``df`` in as few tasks as its known number of rows needs: a small table read by many tasks costs
     each following shuffle a set of files for every one of them."""
