@@ -92,14 +92,26 @@ def _labels(name: str, eps: float, ms: int, **options) -> Callable[[SparkSession
     return lambda spark, sf_dir: dbscan2d(SETS[name].read(spark, sf_dir), eps, ms, **options).select("id", "label")
 
 
-#: Tables of the debug form, and what counts their rows in SQL.
-_DEBUG = {"points": "pts", "cells": "cells", "marked": "m", "cell_status": "cells", "edges": "edges WHERE a < b", "components": "cc", "clusters": "cc", "core_labels": "corelab", "labels": "lab WHERE label >= 0"}
+#: Tables of the debug form: what stands for their contents, in Spark's and DuckDB's words alike, and the rows in SQL.
+_DEBUG = {
+    "points": ("id", "pts"),
+    "cells": ("n * (cell % 1000003)", "cells"),
+    "neighbours": ("(cell % 1000003) * 31 + (neighbour % 1009) * slot", "(SELECT a.cell, (a.dx + 2) * 5 + a.dy + 2 AS slot, b.cell AS neighbour FROM csh a JOIN cells b ON b.kx = a.nkx AND b.ky = a.nky)"),
+    "marked": ("CASE WHEN is_core THEN id ELSE 0 END", "m"),
+    "cell_status": ("status * (kx % 1009 + 7 * (ky % 1009))", "(SELECT kx, ky, CASE WHEN NOT bool_or(is_core) THEN 0 WHEN bool_and(is_core) THEN 2 ELSE 1 END AS status FROM m GROUP BY kx, ky)"),
+    "core_cells": ("n * (cell % 1000003)", "(SELECT cell, count(*) AS n FROM m WHERE is_core GROUP BY cell)"),
+    "edges": ("u % 1000003 + v % 1000003", "(SELECT a AS u, b AS v FROM edges WHERE a < b)"),
+    "components": ("(cell % 1000003) * 3 + root % 1000003", "(SELECT c AS cell, comp AS root FROM cc)"),
+    "clusters": ("(cell % 1000003) * (cluster + 1)", "(SELECT cc.c AS cell, r.cluster FROM cc JOIN roots r ON r.comp = cc.comp)"),
+    "core_labels": ("id * (label + 1)", "corelab"),
+    "labels": ("id * (label + 1)", "(SELECT * FROM lab WHERE label >= 0)"),
+}
 
 
-def _debug_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """name, n: the sizes of the debug form's tables."""
+def _debug_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, n, total: the sizes of the debug form's tables, and sums over their contents."""
     tables = diagnostics.dbscan2d_debug(SETS["events"].read(spark, sf_dir), 0.5, 5)
-    counted = [tables[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name in _DEBUG]
+    counted = [tables[name].agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.expr(total)), F.lit(0)).cast("long").alias("total")).select(F.lit(name).alias("name"), "n", "total") for name, (total, _) in _DEBUG.items()]
     return reduce(DataFrame.unionByName, counted)
 
 
@@ -139,6 +151,20 @@ _ARI_SQL = _two("""SELECT round(CASE WHEN (r + c) / 2 = r * c / t THEN 1 ELSE (s
     "\nSELECT round", ", g AS (SELECT a.label AS p, b.label AS q, count(*)::DOUBLE AS n FROM a_lab a JOIN b_lab b USING (id) GROUP BY 1, 2)\nSELECT round"
 )
 
+#: The rows that each stage makes.
+_PROFILE = {
+    "cell_keys": "pts",
+    "sort_gather": "pts",
+    "boundary_scan": "cells",
+    "build_ngh": "csh a JOIN cells b ON b.kx = a.nkx AND b.ky = a.nky",
+    "core_mark": "m WHERE is_core",
+    "union_find": "cc",
+    "cluster_id": "roots",
+    "core_labels": "corelab",
+    "border_assign": "border",
+    "unpermute": "pts",
+}
+
 #: name: (Spark query, SQL or None)
 CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "points_projection": (_of(lambda s: _doubles(s.points.select("id", "x", "y"), "x", "y")), _sql("SELECT id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM pts")),
@@ -183,6 +209,7 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "dbscan_customer": (_labels("customer", 1.0, 3), _sql(_LABELS, "customer", 1.0, 3)),
     "dbscan_embeddings": (_labels("embeddings", 0.02, 5), _sql(_LABELS, "embeddings", 0.02, 5)),
     "dbscan_stars": (_labels("events", 0.5, 5, strategy="stars"), _sql(_LABELS)),
+    "dbscan_tiles": (_labels("orders", 0.5, 5, strategy="tiles"), _sql(_LABELS, "orders", 0.5, 5)),
     "fit_predict_part": (_fit_predict("part", 1.0, 3, "float"), _sql(_LABELS, "part", 1.0, 3)),
     "float64_cast": (_fit_predict("customer", 1.0, 4, "double"), _sql(_LABELS, "customer", 1.0, 4)),
     "first_core_numbering": (
@@ -201,12 +228,12 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     ),
     "ari": (_ari, _ARI_SQL),
     "stage_profile": (
-        lambda spark, sf_dir: diagnostics.profile_table(SETS["events"].read(spark, sf_dir), 0.5, 5).select("stage", "ordinal", (F.col("ms") > 0).alias("timed")),
-        "SELECT stage, ordinal, true AS timed FROM (VALUES " + ", ".join(f"('{s}', {i + 1})" for i, s in enumerate(diagnostics.STAGES)) + ") AS t(stage, ordinal)",
+        lambda spark, sf_dir: diagnostics.profile_table(SETS["events"].read(spark, sf_dir), 0.5, 5).select("stage", "ordinal", (F.col("ms") > 0).alias("timed"), "n_rows"),
+        _sql("SELECT stage, ordinal, true AS timed, n_rows FROM (VALUES " + ", ".join(f"('{s}', {i + 1}, (SELECT count(*) FROM {_PROFILE[s]}))" for i, s in enumerate(diagnostics.STAGES)) + ") AS t(stage, ordinal, n_rows)"),
     ),
     "debug_tables": (
-        _debug_sizes,
-        _sql("SELECT name, n FROM (VALUES " + ", ".join(f"('{name}', (SELECT count(*) FROM {sql}))" for name, sql in _DEBUG.items()) + ") AS t(name, n)"),
+        _debug_tables,
+        _sql("\nUNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n, CAST(coalesce(sum({total}), 0) AS BIGINT) AS total FROM {rows}" for name, (total, rows) in _DEBUG.items())),
     ),
 }
 

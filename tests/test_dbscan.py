@@ -308,6 +308,8 @@ def test_profile_and_debug(spark):
     assert [r.label for r in labels.orderBy("id").collect()] == brute_labels(X, eps, ms).tolist()
     tables = diagnostics.dbscan2d_debug(from_numpy(spark, X), eps, ms)
     assert len(tables) == 11 and tables["marked"].count() == 153 and tables["marked"].filter("is_core").count() == 35
+    rows = {r.stage: r.n_rows for r in diagnostics.profile_table(from_numpy(spark, X), eps, ms).collect()}
+    assert rows["core_mark"] == rows["core_labels"] == 35 and rows["unpermute"] == 153 and rows["cluster_id"] == labels.agg(F.max("label")).first()[0] + 1
     with pytest.raises(ValueError, match="n > 0"):
         diagnostics.dbscan2d_debug(from_numpy(spark, np.zeros((0, 2), f32)), eps, ms)
     with pytest.raises(ValueError, match="eps"):
