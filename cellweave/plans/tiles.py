@@ -28,8 +28,8 @@ from cellweave.plans.lineage import cut
 HALO = 4
 #: Points of a tile, about; the fewest where tiles are made only to use all cores; the most that one task takes.
 POINTS, LEAST_POINTS, MOST_POINTS = 50_000, 5_000, 1_000_000
-#: Points that splitters are taken from, at most.
-SAMPLE = 200_000
+#: Points that splitters are taken from: so many, or ``EACH`` for a tile, but no more than ``MOST_SAMPLE`` (16 bytes each).
+SAMPLE, EACH, MOST_SAMPLE = 200_000, 20, 4_000_000
 #: Tiles are no narrower than this, in cells.
 NARROWEST = 8
 POINT, LINK, NAME = range(3)
@@ -73,7 +73,7 @@ class Tiles:
                 nodes.append([-1, 0, 0, 0])
         leaves = sorted((*done, *parts), key=lambda p: p[1])
         for number, (_, node, rows, _) in enumerate(leaves):
-            if len(rows) * points_each > MOST_POINTS and len(rows) > 20:
+            if len(rows) * points_each > MOST_POINTS and len(rows) > EACH // 4:
                 raise TooDense
             nodes[node] = [-1, 0, number, 0]
         return cls(*np.array(nodes, np.int64).T, tuple(p[3] for p in leaves))
@@ -112,10 +112,11 @@ def tiles_for(points: DataFrame, params: Params, n: int) -> Tiles:
     wanted = max(-(-n // POINTS), min(2 * cores, -(-n // LEAST_POINTS)), 1)
     if wanted == 1:
         return Tiles.of(np.zeros(0, np.int64), np.zeros(0, np.int64), 1, 0)
-    share = min(1.0, SAMPLE / n)
+    sample = min(MOST_SAMPLE, max(SAMPLE, EACH * wanted))
+    wanted, share = min(wanted, max(1, MOST_SAMPLE // EACH)), min(1.0, sample / n)
     kx, ky = (cell_coordinate(F.col(c), params.inv_r).alias(f"k{c}") for c in ("x", "y"))
     rows = points if share == 1 else points.sample(fraction=share, seed=11)
-    table = rows.select(kx, ky).toArrow()  # about SAMPLE rows of 16 bytes
+    table = rows.select(kx, ky).toArrow()  # about ``sample`` rows of 16 bytes
     return Tiles.of(table["kx"].to_numpy(), table["ky"].to_numpy(), wanted, n / max(table.num_rows, 1))
 
 
