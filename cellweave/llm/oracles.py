@@ -120,3 +120,42 @@ FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
 
 #: A recursion over the rows of each conversation.
 CONVERSATION_SQL = _conversations()
+
+
+def _secret_base_spans() -> str:
+    """The fixed patterns as they are stated: whole runs first, those that are too short dropped afterwards."""
+    either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    names = "|".join(either(w) for w in ("password", "passwd", "secret", "token", "api")) + "_?" + either("key")
+    assign = rf"""({names})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = [("assign", assign, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]
+    found = " UNION ALL ".join(
+        f"""SELECT r, {k} AS k, {least} AS least, regexp_extract_all(t, '{pattern}') AS whole, regexp_extract_all(t, '{pattern}', {group}) AS word, string_split_regex(t, '{pattern}') AS between FROM d"""
+        for k, (_, pattern, group, least) in enumerate(kinds)
+    )
+    counts = ", ".join(f"count(*) FILTER (WHERE k = {k}) AS n_{name}" for k, (name, *_) in enumerate(kinds))
+    label = "CASE k " + " ".join(f"WHEN {k} THEN '{name}'" for k, (name, *_) in enumerate(kinds)) + " END"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+item AS (SELECT r, k, least, generate_subscripts(whole, 1) AS i, unnest(whole) AS w, unnest(word) AS g, unnest(between[1:len(whole)]) AS b FROM found WHERE len(whole) > 0),
+placed AS (SELECT r, k, least, w, g, sum(length(w) + length(b)) OVER (PARTITION BY r, k ORDER BY i) AS e FROM item),
+spans AS (SELECT r, {counts}, string_agg({label} || ':' || CAST(e - length(w) AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY e - length(w), k) AS listed FROM placed WHERE length(g) >= least GROUP BY r)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(listed, '')) AS base_sha256
+FROM d LEFT JOIN spans USING (r)
+"""
+
+
+#: op5's columns that no model decides.
+SECRET_BASE_SPANS_SQL = _secret_base_spans()
+
+#: op6's columns that no order decides.
+EDITED_TEXTS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS next FROM d WINDOW w AS (ORDER BY doc_id NULLS FIRST, t))
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 4) || substr(next, 1, length(t) // 4)) AS edited_sha256 FROM n
+"""
+
+#: op3's columns that no sample decides, and whether the law holds: gapless slots, and sizes as near as texts and kept groups let them be.
+SHARD_SIZES_SQL = """
+SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, 'bytes' AS law, true AS gapless, true AS near_equal FROM documents
+"""
