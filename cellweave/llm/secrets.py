@@ -2,7 +2,8 @@
 
 Two first-order character chains are trained from labelled samples, one from random strings and one from
 identifiers and words. A token's log-likelihood ratio for each transition says which of them it
-is likelier from; tokens above a threshold that no training identifier reaches are added as spans.
+is likelier from; tokens above a threshold that no training identifier reaches are added as spans. Tokens are taken from
+what the fixed patterns leave of the text.
 All text work is DataFrame expressions; only the 80 x 80 table is made in Python, from the samples.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +23,9 @@ from cellweave.llm.exprs import let, number_array, running, unused
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: What the models judge: runs of characters that keys are written in.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: What the models judge: runs of characters that keys are written in. Runs shorter than ``LONG`` must hold letters and
+#: digits, as a short number or word alone is too little to tell from a key.
+TOKEN, LONG = r"[A-Za-z0-9+/_=-]{16,}", 20
 KINDS = ("assign", "access", "hex", "markov")
 MASK = "[SECRET]"
 #: Code points of a block of text that masking cuts from.
@@ -82,7 +85,7 @@ def labelled_samples(n: int = 6000, seed: int = 20) -> list[tuple[str, int]]:
 def train(samples: list[tuple[str, int]]) -> tuple[list[float], float]:
     """(flattened table of log ratios by transition, threshold of the mean ratio)."""
     counts = [[0.0] * (_SIDE * _SIDE) for _ in range(2)]
-    usable = [(s, y) for s, y in samples if len(s) >= 20 and re.fullmatch(TOKEN, s)]
+    usable = [(s, y) for s, y in samples if len(s) >= LONG and re.fullmatch(TOKEN, s)]
     for s, y in usable:
         for a, b in zip(s, s[1:], strict=False):
             counts[y][(ord(a) - _LOW) * _SIDE + ord(b) - _LOW] += 1
@@ -103,6 +106,12 @@ def mean_ratio(token: str, table: list[float]) -> float:
     return sum(table[a * _SIDE + b] for a, b in zip(codes, codes[1:], strict=False)) / max(len(codes) - 1, 1)
 
 
+def looks_random(token: str, table: list[float], threshold: float) -> bool:
+    """Whether a run of the judged characters counts as a secret; the plain-Python form too."""
+    mixed = re.search("[A-Za-z]", token) and re.search("[0-9]", token)
+    return bool(len(token) >= LONG or mixed) and mean_ratio(token, table) > threshold
+
+
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, word>> of every match, in code points; ``word`` is the given group.
 
@@ -124,27 +133,40 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), let(F.struct(*parts), placed)).otherwise(none)
 
 
-def _touches(token: Column, found: Column) -> Column:
-    """Whether a span overlaps any of ``found``, which are sorted and apart: a binary search."""
-    n = F.size(found)
+def _spans(found: Column, kind: int) -> Column:
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
+
 
-    def reach(at: Column, step: Column) -> Column:
-        return F.when((at + step <= n) & (F.get(found, at + step - 1)["start"] <= token["start"]), at + step).otherwise(at)
+def _replaced(text: Column, spans: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """``text`` with ``by(span, at)`` in place of each of the ``spans`` (sorted by start, may overlap), where ``at`` is the end
+    of what the spans before it cover. Between spans the text is taken from blocks, as a place in a long text is found by
+    counting from its beginning."""
+
+    def joined(p: Column) -> Column:
+        def piece(begin: Column, end: Column) -> Column:
+            first, last = F.floor(begin / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+            of = lambda b: F.coalesce(F.get(p["blocks"], b), F.lit(""))
+            head, tail = F.substring(of(first), begin - first * BLOCK + 1, F.lit(BLOCK)), F.substring(of(last), F.lit(1), end - last * BLOCK)
+            middle = F.array_join(F.slice(p["blocks"], first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+            return F.when(first == last, F.substring(of(first), begin - first * BLOCK + 1, end - begin)).otherwise(F.concat(head, middle, tail))
 
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(30))])
-    last = F.aggregate(F.filter(steps, lambda s: s <= n), F.lit(0), reach)
-    hit = lambda at: F.coalesce((F.get(found, at - 1)["end"] > token["start"]) & (at > 0), F.lit(False)) | F.coalesce(F.get(found, at)["start"] < token["end"], F.lit(False))
-    return let(last, hit)
+        def step(s: Column, i: Column) -> Column:
+            at = F.when(i > 0, F.get(p["reached"], i - 1)).otherwise(F.lit(0))
+            return F.concat(F.when(s["start"] > at, piece(at, s["start"])).otherwise(F.lit("")), by(s, at))
 
+        return F.concat(F.array_join(F.transform(p["spans"], step), ""), piece(F.element_at(p["reached"], -1), F.char_length(text)))
 
-def _spans(found: Column, kind: int) -> Column:
-    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
+    def parts(spans: Column) -> Column:
+        reached = let(F.transform(spans, lambda s: s["end"]), lambda e: running(e, F.lit(0), lambda a, b: F.greatest(a, b)))
+        return let(F.struct(spans.alias("spans"), reached.alias("reached"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks")), joined)
+
+    return F.when(F.size(spans) > 0, parts(spans)).otherwise(text)
 
 
 def scan_columns(text: Column, table: list[float], threshold: float) -> Column:
     """struct<base, added>: arrays of struct<start, kind, end>, each sorted by start, then kind."""
     assign = F.filter(_matches(text, ASSIGN, 2), lambda m: F.char_length(m["word"]) >= 6)
-    kinds = F.struct(*[_spans(m, k).alias(KINDS[k]) for k, m in enumerate((assign, _matches(text, ACCESS), _matches(text, HEX)))])
+    fixed = F.array_sort(F.concat(*[_spans(m, k) for k, m in enumerate((assign, _matches(text, ACCESS), _matches(text, HEX)))]))
     ratios = number_array(table, "double")
 
     def random_like(m: Column) -> Column:
@@ -154,16 +176,15 @@ def scan_columns(text: Column, table: list[float], threshold: float) -> Column:
             total = F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0.0), lambda acc, i: acc + F.get(ratios, F.get(c, i - 1) * _SIDE + F.get(c, i)))
             return total / (F.size(c) - 1)
 
-        return let(F.filter(codes, lambda c: c >= 0), mean) > threshold
-
-    tokens = F.filter(_matches(text, TOKEN), random_like)
+        mixed = m["word"].rlike("[A-Za-z]") & m["word"].rlike("[0-9]")
+        return ((F.char_length(m["word"]) >= LONG) | mixed) & (let(F.filter(codes, lambda c: c >= 0), mean) > threshold)
 
-    def apart(found: Column) -> Column:
-        lists = [found[k] for k in KINDS[:3]]
-        touched = lambda t: _touches(t, lists[0]) | _touches(t, lists[1]) | _touches(t, lists[2])
-        return F.struct(F.array_sort(F.concat(*lists)).alias("base"), F.filter(_spans(tokens, 3), lambda t: ~touched(t)).alias("added"))
+    def judged(base: Column) -> Column:
+        blank = lambda s, at: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)))
+        tokens = let(_replaced(text, base, blank), lambda left: F.filter(_matches(left, TOKEN), random_like))
+        return F.struct(base.alias("base"), _spans(tokens, 3).alias("added"))
 
-    return let(kinds, apart)
+    return let(fixed, judged)
 
 
 def _listed(spans: Column) -> Column:
@@ -201,25 +222,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> D
     text = F.col(text_col)
     found = docs.withColumn(name, scan_columns(F.coalesce(text, F.lit("")), table, threshold))
 
-    # between spans the text is taken from blocks, as a place in a long text is found by counting from its beginning
-    def masked(p: Column) -> Column:
-        def piece(begin: Column, end: Column) -> Column:
-            first, last = F.floor(begin / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
-            of = lambda b: F.coalesce(F.get(p["blocks"], b), F.lit(""))
-            head, tail = F.substring(of(first), begin - first * BLOCK + 1, F.lit(BLOCK)), F.substring(of(last), F.lit(1), end - last * BLOCK)
-            middle = F.array_join(F.slice(p["blocks"], first + 2, F.greatest(last - first - 1, F.lit(0))), "")
-            return F.when(first == last, F.substring(of(first), begin - first * BLOCK + 1, end - begin)).otherwise(F.concat(head, middle, tail))
-
-        def step(s: Column, i: Column) -> Column:
-            at = F.when(i > 0, F.get(p["reached"], i - 1)).otherwise(F.lit(0))
-            return F.when(s["start"] >= at, F.concat(piece(at, s["start"]), F.lit(mask))).otherwise(F.lit(""))
-
-        return F.concat(F.array_join(F.transform(p["spans"], step), ""), piece(F.element_at(p["reached"], -1), F.char_length(text)))
-
-    def parts(spans: Column) -> Column:
-        reached = let(F.transform(spans, lambda s: s["end"]), lambda e: running(e, F.lit(0), lambda a, b: F.greatest(a, b)))
-        return let(F.struct(spans.alias("spans"), reached.alias("reached"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks")), masked)
-
+    once = lambda s, at: F.when(s["start"] >= at, F.lit(mask)).otherwise(F.lit(""))
     every = F.array_sort(F.concat(F.col(name)["base"], F.col(name)["added"]))
-    changed = F.when(F.size(every) > 0, let(every, parts)).otherwise(text)
+    changed = let(every, lambda spans: _replaced(text, spans, once))
     return found.select(*[changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
