@@ -30,7 +30,7 @@ BUCKET = 24
 #: Shingles that are ranked by how often they occur, the most frequent ones; others count as rare.
 MAX_RANKED = 500_000
 #: Shingles that one counting task holds (about 50 bytes each), and those a worker gathers before it sends them.
-COUNTED, GATHERED = 1_000_000, 500_000
+COUNTED, GATHERED = 500_000, 500_000
 #: Candidates of a text that the first round checks, and how many times more each later round does.
 FIRST_CHECKS, MORE_CHECKS = 16, 8
 #: About as many pairs of the members of large lists are looked at in a round, and as many members in a block.
