@@ -18,6 +18,8 @@ from cellweave.sources.points import check_array, from_numpy
 ArrayLike2D = Union[DataFrame, pd.DataFrame, np.ndarray]
 #: Arrays of at most so many points, which the driver holds anyway, are labelled there.
 ARRAY_POINTS = 200_000
+#: Tables of more points, and of their cells, are never broadcast by the plan of joins.
+BROADCAST_POINTS = 200_000
 
 
 class Stages:
@@ -25,13 +27,19 @@ class Stages:
 
     What several stages read is checkpointed: components are found eagerly, so the call is
     not fully lazy, and what follows does not repeat what came before.
+
+    ``n``: the number of points. Spark guesses the size of points and cells from compressed files, so where they are many,
+    joins with them are sort-merge joins: a broadcast that looks small may have a hundred MB for the driver to build.
     """
 
-    def __init__(self, points: DataFrame, params: Params, numbering: str = "cell", strategy: str = "auto"):
-        self.params, self.numbering, self.strategy = params, numbering, strategy
-        self.points = grid.with_cells(points, params)
+    def __init__(self, points: DataFrame, params: Params, numbering: str = "cell", strategy: str = "auto", n: int = 0):
+        self.params, self.numbering, self.strategy, self.n = params, numbering, strategy, n
+        self.points = self._shuffled(grid.with_cells(points, params))
         self._made: dict[str, DataFrame] = {}
 
+    def _shuffled(self, df: DataFrame) -> DataFrame:
+        return df.hint("merge") if self.n > BROADCAST_POINTS else df
+
     def _once(self, name: str, make, keep: bool = False) -> DataFrame:
         if name not in self._made:
             self._made[name] = cut(make()) if keep else make()
@@ -39,7 +47,7 @@ class Stages:
 
     @property
     def cells(self) -> DataFrame:
-        return self._once("cells", lambda: grid.cell_table(self.points), keep=True)
+        return self._shuffled(self._once("cells", lambda: grid.cell_table(self.points), keep=True))
 
     @property
     def marked(self) -> DataFrame:
@@ -79,8 +87,8 @@ def prepare(df: DataFrame, eps, min_samples, id: str = "id", x: str = "x", y: st
     if numbering not in labels.NUMBERINGS:
         raise ValueError(f"numbering must be one of {labels.NUMBERINGS}, not {numbering!r}")
     points = grid.point_table(df, id, x, y)
-    grid.check_points(points, params, unique)
-    return Stages(points, params, numbering, strategy)
+    n = grid.check_points(points, params, unique)
+    return Stages(points, params, numbering, strategy, n)
 
 
 STRATEGIES = ("auto", "tiles", "driver", "stars")
@@ -94,8 +102,8 @@ def _labels(points: DataFrame, params: Params, numbering: str, strategy: str, un
             return tiles.labels_by_tiles(points, params, n, numbering, "auto" if strategy == "auto" else "stars", unique)
         except tiles.TooDense:
             strategy = "stars"
-    grid.check_points(points, params, unique)
-    stages = Stages(points, params, numbering, strategy)
+    n = grid.check_points(points, params, unique)
+    stages = Stages(points, params, numbering, strategy, n)
     found = stages.labels.select(F.col("id").alias("of"), "label")
     return points.join(found, F.col("id") == F.col("of"), "left").select("id", "x", "y", F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
 

@@ -9,7 +9,7 @@ from cellweave import DBSCAN, dbscan2d
 from cellweave.operators import core as core_steps
 from cellweave.operators import labels as label_steps
 from cellweave.params import Params
-from cellweave.operators import tile
+from cellweave.operators import stencil, tile
 from cellweave.plans import diagnostics, lineage, tiles
 from cellweave.plans.dbscan import prepare
 from cellweave.sources.points import from_array_column, from_numpy
@@ -390,3 +390,20 @@ def test_fifty_thousand_points_give_the_same_labels_every_time(X, clusters, nois
     assert np.array_equal(here, dbscan2d(X, 0.5, 5))
     for strategy in ("driver", "stars", "tiles"):
         assert np.array_equal(here, dbscan2d(X, 0.5, 5, strategy=strategy))
+
+
+def test_many_points_and_cells_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """What Spark takes for small from a compressed file: 1,200,000 cells were broadcast, which the driver couldn't hold."""
+    from cellweave.plans import dbscan
+
+    monkeypatch.setattr(dbscan, "BROADCAST_POINTS", 500)
+    spark.range(1000).select("id", (F.col("id") * 100).cast("float").alias("x"), (F.col("id") * 100).cast("float").alias("y")).write.parquet(str(tmp_path / "far"))
+    far = spark.read.parquet(str(tmp_path / "far"))
+    few = far.filter("id < 400")
+    for points, broadcast in ((far, False), (few, True)):
+        s = prepare(points, 1.0, 2, strategy="driver")
+        plans = [core_steps.mark_core(s.points, s.cells, s.params), stencil.close_pairs(s.cells, s.params)]
+        assert all(("BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()) == broadcast for plan in plans)
+    assert {r.label for r in dbscan2d(far, 1.0, 2, strategy="driver").collect()} == {-1}
+    joined = far.withColumn("x", (F.col("x") / 200).cast("float"))
+    assert {r.label for r in dbscan2d(joined.withColumn("y", F.lit(0).cast("float")), 1.0, 2, strategy="driver").collect()} == {0}
