@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.exprs import per_text
+from cellweave.llm.exprs import TEXTS, per_text, small_batches
 from cellweave.plans.lineage import cut
 
 #: Most labelled rows that are fitted, chosen by hash of the id; the fit's cost does not grow beyond it.
@@ -144,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, r
             stats = [statistics(t).tolist() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(stats, pa.list_(pa.float64())), b.column("y"), b.column("fold").cast(pa.int64())], ["stats", "y", "fold"])
 
-    train = cut(rows.mapInArrow(measured, "stats array<double>, y double, fold long").repartition(PARTS))
+    with small_batches(docs.sparkSession):
+        train = cut(rows.mapInArrow(measured, "stats array<double>, y double, fold long").repartition(PARTS))
 
     def summed(of, size: int) -> np.ndarray:
         """The sum over partitions of ``of``(stats, y): one row of ``size`` numbers from each."""
@@ -206,12 +207,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_R
     """The rows of ``docs`` that the classifier does not reject, with their columns.
 
     Null texts count as empty; repeated rows stay or go together, whatever their ids, null ones too; an empty table stays
-    empty. Other columns may be null and are passed through.
+    empty. Other columns may be null and are passed through. A worker copies and sends back ``TEXTS`` rows at a time, however
+    many the session's batches have.
     """
     model = fit(docs, labels, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(at, TEXTS) for x in batches for at in range(0, x.num_rows, TEXTS)):
             score = _scored(model, b.column("text").cast(pa.binary()).to_pylist())
             yield b.filter(pa.array(score >= THRESHOLD))
 

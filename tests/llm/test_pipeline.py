@@ -1,8 +1,9 @@
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellweave.llm import quality, queries, similar
+from cellweave.llm import exprs, quality, queries, similar
 from tests.llm.helpers import AWKWARD, documents
 from tests.llm.test_secrets_omh import plain_spans
 from tests.llm.test_simhash import brute_groups, plain_fingerprint
@@ -80,3 +81,29 @@ def test_every_query_is_registered_and_covers_its_table(spark, sf_dir):
     for name in queries.queries():
         if name.startswith("op") and name not in ("op7_hnsw_search", "op9_best_fit_packing", "op11_vector_codes", "op12_itq_near_dedup", "op13_conversation_repair"):
             assert every[name](spark, sf_dir).count() == documents_, name
+
+
+def test_quality_stage_sends_few_texts_at_once(spark, sf_dir):
+    """Files of 10,000 texts in one batch took an executor over its memory; and slices of a batch lose no row."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    text = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20).select(F.col("text"))
+    docs = documents(spark, []).select("doc_id", "lang", "source", "n_chars")
+    many = spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    rows = text.withColumn("at", F.monotonically_increasing_id() % 20).groupBy("at").agg(F.min("text").alias("text"))
+    docs = docs.unionByName(many).withColumn("at", F.col("doc_id") % 20).join(F.broadcast(rows), "at").drop("at").coalesce(1).cache()
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    try:
+        spark.conf.set(name, "10000")
+        wanted = {r.doc_id for r in quality.score_documents(docs, labels).filter("predicted = 1").collect()}
+        assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == wanted and wanted
+        assert spark.conf.get(name) == "10000"
+        kept = corpus_pipeline.quality_filter(spark, docs, sf_dir)
+        assert int(spark.conf.get(name)) == exprs.TEXTS
+        assert {r.doc_id for r in kept.collect()} == wanted
+        spark.conf.set(name, "7")
+        corpus_pipeline.quality_filter(spark, docs, sf_dir)
+        assert spark.conf.get(name) == "7"
+    finally:
+        spark.conf.set(name, before)
+        docs.unpersist()
