@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from cellweave.llm.exprs import TEXTS, small_batches
 from cellweave.operators.components import star_components
@@ -37,7 +38,7 @@ FIRST_CHECKS, MORE_CHECKS = 16, 8
 PAIRS_A_ROUND, BLOCK = 50_000_000, 2048
 #: Pairs that take one text from the same row of it: a text in more pairs is sent in several rows.
 PAIRS_OF_A_ROW = 64
-#: Rows of a few numbers each that may be broadcast.
+#: Numbers that may be broadcast: so many ids, or fewer rows of several numbers, which the driver builds a table of.
 BROADCAST_IDS = 200_000
 ROWS_PER_TASK = 50_000
 
@@ -261,15 +262,25 @@ def _met(rows: DataFrame, bucket: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, id long, n int, most int, u long, v long, share int, need int, fits boolean")
 
 
+def _numbers(kind: DataType) -> int:
+    """Numbers in a value of a type; those of a struct count one by one."""
+    return sum(_numbers(f.dataType) for f in kind.fields) if isinstance(kind, StructType) else 1
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` to join with: broadcast if its counted rows are few."""
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
+def small_table(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of rows of several numbers: broadcast if the numbers in its counted rows are few."""
+    return small(df, rows * _numbers(df.schema))
+
+
 def _with_text(pairs: DataFrame, rows: int, texts: DataFrame, end: str, name: str) -> DataFrame:
     """``pairs`` (so many rows) with the text of one end; a text in many pairs is sent in several rows, so that no task has them all."""
     many = pairs.groupBy(end).count().filter(F.col("count") > PAIRS_OF_A_ROW).select(end, F.ceil(F.col("count") / PAIRS_OF_A_ROW).cast("int").alias("copies"))
-    many = small(many, rows // PAIRS_OF_A_ROW)  # no more texts than that are in so many pairs
+    many = small_table(many, rows // PAIRS_OF_A_ROW)  # no more texts than that are in so many pairs
     copies = F.coalesce("copies", F.lit(1))
     dealt = pairs.join(many, end, "left").withColumn("part", F.pmod(F.hash("u", "v"), copies)).drop("copies")
     sent = texts.withColumnRenamed("id", end).join(many, end, "left").select(end, F.col("text").alias(name), F.explode(F.sequence(F.lit(0), copies - 1)).alias("part"))
@@ -364,7 +375,7 @@ def _grown(comps: DataFrame | None, left: DataFrame | None, large: DataFrame, te
         keys, cost = mixed.agg(F.count(F.lit(1)), F.sum(F.col("members") * (F.col("members") - F.col("main_members")))).first()
         if not keys:
             return comps if left is None else _settled(comps, left, texts)[0]
-        open_ = members.join(small(mixed, keys), "key")
+        open_ = members.join(small_table(mixed, keys), "key")
         share = PAIRS_A_ROUND / cost
         drawn = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1_000_000)) < share * 1_000_000
         outside = cut(open_.filter((F.col("component") != F.col("main")) & drawn).select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("most").alias("x_most"), F.col("component").alias("other"), "blocks"))
@@ -379,7 +390,7 @@ def _grown(comps: DataFrame | None, left: DataFrame | None, large: DataFrame, te
         if share >= 1:
             return comps
         done = outside.select("key", F.col("x").alias("id"))
-        large = members.join(small(done, done.count()), ["key", "id"], "left_anti").drop("component")
+        large = members.join(small_table(done, done.count()), ["key", "id"], "left_anti").drop("component")
         turn += 1
 
 
@@ -416,7 +427,7 @@ def _components(docs: DataFrame, mark: Callable[[bytes | None], int], marked_pai
     large = met.filter("u is null").select("key", "id", "n", "most")
     firsts = cut(large.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n", "most")).alias("first")).filter("members > 1"))
     n_large = firsts.count()
-    large = cut(large.join(small(firsts, n_large), "key").select("key", "id", "n", "most", "first"))
+    large = cut(large.join(small_table(firsts, n_large), "key").select("key", "id", "n", "most", "first"))
     fits = (F.col("n") <= F.col("first")["most"]) & (F.col("first")["n"] <= F.col("most")) & (F.col("id") != F.col("first")["id"])
     pairs = met.filter("u is not null").groupBy("u", "v").agg(F.sum("share").alias("share"), F.min("need").alias("need"), F.bool_or("fits").alias("fits"))
     # where a list is large though its shingle isn't ranked, what its members share is not counted

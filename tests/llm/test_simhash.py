@@ -266,3 +266,24 @@ def test_different_texts_of_one_id_stay(spark):
     rows = [(1, "one text of its own here"), (1, "something else altogether now"), (1, "one text of its own here"), (2, "one text of its own here")]
     kept = simhash.keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept)) == sorted(rows[:2])
+
+
+def test_rows_of_several_numbers_are_broadcast_up_to_fewer_of_them(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(similar, "BROADCAST_IDS", 200)
+    wide = spark.range(100).select(F.col("id").alias("key"), F.lit(2).alias("members"), F.struct("id", F.lit(3).alias("n"), F.lit(4).alias("most")).alias("first"))
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(similar.small(spark.range(200), 200))
+    assert "broadcast" in plan(similar.small_table(wide, 40))
+    assert "broadcast" not in plan(similar.small_table(wide, 41))
+    assert "broadcast" not in plan(similar.small(spark.range(201), 201))
+
+
+def test_groups_are_the_same_where_nothing_is_broadcast(spark, monkeypatch):
+    rows = [(i, f"a passage that many of these texts have in common number {i % 7} and some words {i % 30} more at its end") for i in range(120)]
+    docs = spark.createDataFrame([*rows, (500, None), (501, " ")], "doc_id long, text string")
+    groups = lambda: sorted(map(tuple, simhash.similar_groups(docs, bucket=4).collect()))
+    broadcast = groups()
+    monkeypatch.setattr(similar, "BROADCAST_IDS", 0)
+    assert groups() == broadcast
